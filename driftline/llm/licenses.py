@@ -74,17 +74,21 @@ class TemplateIndex:
             at += 1
         out: list[tuple[int, int]] = []
         for t, start in sorted(seeds):
-            if not out or out[-1][0] != t or start - out[-1][1] > self.band:
+            if not out or out[-1][0] != t or start - out[-1][1] > self.reach(t):
                 out.append((t, start))
         return out
 
+    def reach(self, t: int) -> int:
+        """Half the band's width: a third of a short template at most."""
+        return min(self.band, len(self.words[t]) // 3)
+
     def align(self, words: list[bytes], t: int, start: int) -> tuple[int, int, int]:
         """(matched template words, first, last + 1 matched word of the text).
 
         Global in the template, free at both ends of the text, within the band: a
         match gains 2, a gap or mismatch costs 1.
         """
-        tpl, band, floor = self.words[t], self.band, -(1 << 30)
+        tpl, band, floor = self.words[t], self.reach(t), -(1 << 30)
         # Cell of row i and offset d: template word i against text word start + i + d.
         row = {d: (0, 0, -1, -1) for d in range(-band, band + 1)}  # score, matched, first, last
         for i, w in enumerate(tpl):
