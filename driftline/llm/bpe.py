@@ -12,6 +12,7 @@ import hashlib
 import json
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,9 @@ from pyspark.sql import types as T
 
 from driftline.llm.common import arrow_columns, strings, struct
 
-#: White space to str.split() that the tokenizer's \s does not match.
-CONTROL_SPACE = regex.compile("[\x1c-\x1f]")
-SPACE = regex.compile(r"[^\S\x1c-\x1f]+")
-CACHE = 300_000
+#: Words whose ids a task remembers; beyond, it starts anew.
+CACHE = 150_000
+NEVER = 1 << 60
 #: Code points (first, last) that the regex module's Unicode tables class as
 #: letters or numbers and the tokenizer's older tables do not.
 LATER = (
@@ -44,6 +44,7 @@ LATER_LOWER = {
     0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B,
     **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
 }
+UPPER_LATER = regex.compile("[" + "".join(map(chr, LATER_LOWER)) + "]")
 
 
 def default_path() -> str:
@@ -59,6 +60,14 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(moved)) for b in range(256)]
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordBpe:
     """Byte-level BPE over words that end in a suffix, read from a tokenizer file.
 
@@ -68,73 +77,111 @@ class WordBpe:
     """
 
     def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         model = spec["model"]
-        self.suffix = model["end_of_word_suffix"] or ""
-        self.vocab: dict[str, int] = model["vocab"]
-        self.text = {i: t for t, i in self.vocab.items()}
+        self.suffix: str = model["end_of_word_suffix"] or ""
+        v: dict[str, int] = model["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.text |= {i: t for t, i in self.added.items()}
+        names = {i: t for t, i in (v | self.added).items()}
+        self.names: list[str | None] = [names.get(i) for i in range(max(names) + 1)]
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))))
-        self.symbol = byte_symbols()
-        self.table = str.maketrans({chr(b): s for b, s in enumerate(self.symbol)})
+        self.table = str.maketrans({chr(b): s for b, s in enumerate(byte_symbols())})
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        v, base = self.vocab, len(self.vocab)
+        self.base = base = max(v.values()) + 1
         left = np.array([v[a] for a, _ in merges], np.int64)
         right = np.array([v[b] for _, b in merges], np.int64)
-        made = np.array([v[a + b] for a, b in merges], np.int64)
-        self.rank_of = {(int(a), int(b)): i for i, (a, b) in enumerate(zip(left, right, strict=True))}
-        self.made = made.tolist()
+        self.made = np.array([v[a + b] for a, b in merges], np.int64)
         key = left * base + right
         order = np.argsort(key, kind="stable")
-        self.base, self.pair_key, self.pair_rank = base, key[order], order
-        # How a token was made: -1 for single symbols.
+        self.pair_key, self.pair_rank = key[order], order
+        # The merge that made a token, -1 for single symbols, and its two parts.
+        back = slice(None, None, -1)  # of equals the first counts
         self.birth = np.full(base, -1, np.int64)
-        self.birth[made[::-1]] = np.arange(len(made))[::-1]
+        self.birth[self.made[back]] = np.arange(len(merges))[back]
         self.left, self.right = np.arange(base), np.arange(base)
-        self.left[made[::-1]], self.right[made[::-1]] = left[::-1], right[::-1]
-        # Tokens that merging itself yields; only these may be proposed.
-        self.sound: set[str] = set()
-        self.longest = 1
-        for t, i in sorted(v.items(), key=lambda x: len(x[0])):
-            if self._merge(self._symbols(t)) == [i]:
-                self.sound.add(t)
-                self.longest = max(self.longest, len(t))
+        self.left[self.made[back]], self.right[self.made[back]] = left[back], right[back]
+        # Single symbols inside a word, and at its end.
+        self.inner = {c: i for c, i in v.items() if len(c) == 1}
+        self.last = {c: v[c + self.suffix] for c in self.inner if c + self.suffix in v}
+        # Only tokens that merging itself yields may be proposed.
+        bodies = [(t.removesuffix(self.suffix), t.endswith(self.suffix) and t != self.suffix, i) for t, i in v.items() if t]
+        ids, size = self._merged_all([self._symbols(b, end) for b, end, _ in bodies])
+        at = np.cumsum(size) - size
+        sound = [(b, end, i) for (b, end, i), n, k in zip(bodies, size.tolist(), at.tolist(), strict=True) if n == 1 and ids[k] == i]
+        self.ending = {b: i for b, end, i in sound if end}
+        # Tokens inside words, and -1 for what only begins one.
+        self.starts = {b[:j]: -1 for b, end, _ in sound if not end for j in range(1, len(b))}
+        self.starts |= {b: i for b, end, i in sound if not end}
         self.words: dict[str, bytes] = {}
-        self.special_ids = {i.to_bytes(4, "little"): t for t, i in self.added.items()}
-        self.names: list[str | None] = [self.text.get(i) for i in range(max(self.text) + 1)]
-
-    def _symbols(self, word: str) -> list[int]:
-        """word: mapped symbols, perhaps with the suffix at its end."""
-        end = self.suffix if self.suffix and word.endswith(self.suffix) and len(word) > len(self.suffix) else ""
-        body = word[: len(word) - len(end)]
-        return [self.vocab[c] for c in body[:-1]] + [self.vocab[body[-1] + end]]
-
-    def _merge(self, ids: list[int]) -> list[int]:
-        """Exact merging: the lowest rank first, the leftmost of equals."""
-        ids, rank = list(ids), self.rank_of
-        while len(ids) > 1:
-            best, at = min((rank.get(p, 1 << 60), i) for i, p in enumerate(zip(ids, ids[1:], strict=False)))
-            if best == 1 << 60:
-                break
-            ids[at : at + 2] = [self.made[best]]
+
+    def _symbols(self, word: str, end: bool = True) -> list[int]:
+        ids = list(map(self.inner.__getitem__, word))
+        if end:
+            ids[-1] = self.last[word[-1]]
         return ids
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a * self.base + b
+        at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+        return np.where(self.pair_key[at] == key, self.pair_rank[at], NEVER)
+
+    def _merged_all(self, words: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of many words side by side: ids one after another, and their counts.
+
+        Each round makes in every unfinished word the merge of lowest rank, of equals
+        the leftmost, and looks up only the pairs beside it.
+        """
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        sym = np.fromiter(chain.from_iterable(words), np.int64, int(size.sum()))
+        word = np.repeat(np.arange(len(words)), size)
+        rank = np.full(len(sym), NEVER, np.int64)
+        seam = np.flatnonzero(word[1:] == word[:-1])
+        rank[seam] = self._ranks(sym[seam], sym[seam + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(sym):
+            start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            low = np.repeat(np.minimum.reduceat(rank, start), np.diff(np.append(start, len(sym))))
+            if (ended := low == NEVER).any():
+                done.append((word[ended], sym[ended]))
+                sym, word, rank, low = sym[~ended], word[~ended], rank[~ended], low[~ended]
+                if not len(sym):
+                    break
+            hit = np.flatnonzero(rank == low)
+            p = hit[np.concatenate([[True], word[hit[1:]] != word[hit[:-1]]])]
+            sym[p] = self.made[low[p]]
+            keep = np.ones(len(sym), bool)
+            keep[p + 1] = False
+            sym, word, rank = sym[keep], word[keep], rank[keep]
+            p = p - np.arange(len(p))  # each merge before moved it by one
+            rank[p] = NEVER
+            r = p[np.append(word[p[:-1] + 1] == word[p[:-1]], p[-1] + 1 < len(word) and word[min(p[-1] + 1, len(word) - 1)] == word[p[-1]])]
+            rank[r] = self._ranks(sym[r], sym[r + 1])
+            q = p[(p > 0) & (word[p - 1] == word[p])]
+            rank[q - 1] = self._ranks(sym[q - 1], sym[q])
+        if not done:
+            return sym, size
+        word, sym = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(word, kind="stable")
+        return sym[order], np.bincount(word, minlength=len(words))
+
     def _propose(self, word: str) -> list[int]:
-        out, i, n, sound, vocab = [], 0, len(word), self.sound, self.vocab
-        body = n - len(self.suffix)
-        while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
-                if (body < j < n) or j == body and self.suffix:  # never cut inside the suffix or before it
-                    continue
-                if (t := word[i:j]) in sound:
-                    out.append(vocab[t])
-                    i = j
+        """Greedy longest match; the last token carries the suffix."""
+        out, i, n = [], 0, len(word)
+        ending, starts = self.ending, self.starts
+        while True:
+            rest = word[i:]
+            if rest in ending:
+                out.append(ending[rest])
+                return out
+            for j in range(1, n - i):
+                if (k := starts.get(rest[:j])) is None:
                     break
-            else:
-                raise ValueError(f"no token covers {word[i:]!r}")
-        return out
+                if k >= 0:
+                    token, size = k, j
+            out.append(token)
+            i += size
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For token pairs: whether merging their joined symbols yields just the two.
@@ -146,13 +193,10 @@ class WordBpe:
         n = len(a)
         ok, live = np.ones(n, bool), np.arange(n)
         x, y = a.astype(np.int64), b.astype(np.int64)
-        limit = np.full(n, 1 << 60, np.int64)  # rank (doubled, odd: later of equals) of the next merge on either side
+        # Doubled ranks, odd at the seam: of equals the left token's merge comes before, the right one's after.
+        limit = np.full(n, NEVER, np.int64)
         while len(live):
-            key = x * self.base + y
-            at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
-            rank = np.where(self.pair_key[at] == key, self.pair_rank[at] * 2 + 1, 1 << 60)
-            # The seam lies right of merges in the left token and left of those in the right one.
-            bad = rank < limit
+            bad = self._ranks(x, y) * 2 + 1 < limit
             ok[live[bad]] = False
             bx, by = self.birth[x], self.birth[y]
             on = ~bad & ((bx >= 0) | (by >= 0))
@@ -162,57 +206,52 @@ class WordBpe:
             x, y = np.where(first, self.right[x], x), np.where(first, y, self.left[y])
         return ok
 
-    def encode_words(self, words: list[str]) -> None:
-        """Puts the ids of mapped words (with suffix) into the cache as bytes."""
-        proposed = [self._propose(w) for w in words]
+    def _learn(self, words: list[str]) -> None:
+        """Puts the ids of lower-case pieces into the cache as bytes."""
+        mapped = [w.encode().decode("latin-1").translate(self.table) for w in words]
+        proposed = list(map(self._propose, mapped))
         size = np.fromiter(map(len, proposed), np.int64, len(proposed))
-        flat = np.fromiter((i for p in proposed for i in p), np.int64, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(proposed), np.int64, int(size.sum()))
         word = np.repeat(np.arange(len(words)), size)
         seam = np.flatnonzero(word[1:] == word[:-1])
         pair, back = np.unique(flat[seam] * self.base + flat[seam + 1], return_inverse=True)
         stable = self.compatible(pair // self.base, pair % self.base)[back]
-        failed = set(word[seam[~stable]].tolist())
-        for i, (w, p) in enumerate(zip(words, proposed, strict=True)):
-            ids = self._merge(self._symbols(w)) if i in failed else p
-            self.words[w] = np.array(ids, "<u4").tobytes()
-
-    def _mapped(self, chunk: str) -> list[str]:
-        low = unicodedata.normalize("NFC", chunk)
-        low = "".join([c.lower() for c in low]) if "Σ" in low else low.lower()
-        if not low.isascii() and any(unicodedata.category(c) == "Cn" for c in low):
+        self._store(words, flat, size)
+        if failed := np.unique(word[seam[~stable]]).tolist():
+            self._store([words[i] for i in failed], *self._merged_all([self._symbols(mapped[i]) for i in failed]))
+
+    def _store(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        raw, end = ids.astype("<u4").tobytes(), np.cumsum(size) * 4
+        self.words.update(zip(words, [raw[a:b] for a, b in zip((end - size * 4).tolist(), end.tolist(), strict=True)], strict=True))
+
+    def _pieces(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.pieces.findall(text.lower())
+        low = unicodedata.normalize("NFC", text)
+        low = low.replace("Σ", "σ").lower()  # no final form, as letters are lowered one by one
+        if not _is_latin(low) and (LATER_PATTERN.search(low) or UPPER_LATER.search(low)):
             low = low.translate(LATER_LOWER)
-            shadow = LATER_PATTERN.sub("\ue000", low)
-            pieces = [low[m.start() : m.end()] for m in self.pieces.finditer(shadow)]
-        else:
-            pieces = self.pieces.findall(low)
-        return [p.encode().decode("latin-1").translate(self.table) + self.suffix for p in pieces]
-
-    def encode_batch(self, texts: list[str], chunks: dict[str, bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers.
+            return [low[m.start() : m.end()] for m in self.pieces.finditer(LATER_PATTERN.sub("\ue000", low))]
+        return self.pieces.findall(low)
 
-        chunks: a cache from white-space-separated raw strings to their ids.
-        """
-        cut = []
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.words) > CACHE:
+            self.words.clear()
+        cut: list[tuple[list[list[str]], list[str]]] = []
         for t in texts:
-            parts = self.special.split(t) if "<|" in t and self.special.search(t) else [t]
-            marks = self.special.findall(t) if len(parts) > 1 else []
-            cut.append(([SPACE.split(p) if CONTROL_SPACE.search(p) else p.split() for p in parts], marks))
-        fresh = {c for parts, _ in cut for p in parts for c in p if c not in chunks}
-        mapped = {c: self._mapped(c) for c in fresh}
-        if new := {w for ws in mapped.values() for w in ws} - self.words.keys():
-            self.encode_words(list(new))
-        for c, ws in mapped.items():
-            chunks[c] = b"".join([self.words[w] for w in ws])
+            marks = self.special.findall(t) if "<|" in t else []
+            cut.append(([self._pieces(p) for p in (self.special.split(t) if marks else [t])], marks))
+        known = self.words
+        fresh = set(chain.from_iterable(p for parts, _ in cut for p in parts)).difference(known)
+        if fresh:
+            self._learn(list(fresh))
         out = []
         for parts, marks in cut:
-            ids = [b"".join(map(chunks.__getitem__, parts[0]))]
+            ids = [b"".join(map(known.__getitem__, parts[0]))]
             for m, p in zip(marks, parts[1:], strict=True):
-                ids += [self.added[m].to_bytes(4, "little"), *map(chunks.__getitem__, p)]
+                ids += [self.added[m].to_bytes(4, "little"), *map(known.__getitem__, p)]
             out.append(b"".join(ids))
-        if len(chunks) > CACHE:
-            chunks.clear()
-        if len(self.words) > CACHE:
-            self.words.clear()
         return out
 
     def decode(self, ids: bytes | np.ndarray) -> str:
@@ -237,11 +276,11 @@ def encode(
     path = path or default_path()
 
     def make():
-        bpe, chunks = load(path), {}
+        bpe = load(path)
 
         def work(column):
             texts = strings(column)
-            ids = [x for i in range(0, len(texts), step) for x in bpe.encode_batch(texts[i : i + step], chunks)]
+            ids = [x for i in range(0, len(texts), step) for x in bpe.encode_batch(texts[i : i + step])]
             sizes = np.array([len(x) // 4 for x in ids], np.int64)
             flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
@@ -276,13 +315,13 @@ def digests(docs: DataFrame, text: str = "text", path: str | None = None, carry:
     path = path or default_path()
 
     def make():
-        bpe, chunks = load(path), {}
+        bpe = load(path)
 
         def work(column, step: int = 256):
             n, a, b = [], [], []
             texts = strings(column)
             for i in range(0, len(texts), step):
-                for ids in bpe.encode_batch(texts[i : i + step], chunks):
+                for ids in bpe.encode_batch(texts[i : i + step]):
                     n.append(len(ids) // 4)
                     a.append(hashlib.sha256(ids).hexdigest())
                     b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
