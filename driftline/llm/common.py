@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+#: Rows of which a task holds Python objects at once.
+SLICE = 512
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,8 +54,9 @@ def arrow_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
                 new = list(work(*[batch.column(c) for c in inputs]))
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + new, schema.fieldNames())
 

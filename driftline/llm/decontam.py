@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.common import arrow_columns, cut_lineage, struct, utf8
+from driftline.llm.common import arrow_columns, cut_lineage, struct
 
 #: ASCII separators become spaces, A-Z become a-z; bytes of other characters stay.
 TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -151,7 +151,13 @@ def automata(benchmark: DataFrame, window: int = 10, group_bytes: int = GROUP_BY
 
 
 def with_matches(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", carry: list[str] | None = None, group_bytes: int = GROUP_BYTES
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = 10,
+    text: str = "text",
+    carry: list[str] | None = None,
+    group_bytes: int = GROUP_BYTES,
+    cut: bool = False,
 ) -> DataFrame:
     """docs with n_words, n_hit, hit_spans and hit_items.
 
@@ -159,29 +165,37 @@ def with_matches(
     any occurrence of a window; hit_items: the distinct item ids, sorted as strings.
     A null text has no words; a null item id counts as an empty string. An empty
     benchmark hits nothing. Benchmarks beyond group_bytes take several automata in a
-    row, whose findings are merged; results are the same.
+    row, whose findings are merged; results are the same. cut: the text comes back
+    without the words of the spans.
     """
     out = struct(
         ("n_words", T.LongType()), ("n_hit", T.LongType()), ("hit_spans", T.ArrayType(T.IntegerType())), ("hit_items", T.ArrayType(T.StringType()))
     )
     kept = [c for c in (docs.columns if carry is None else carry) if c not in out.fieldNames()]
-    for k, automaton in enumerate(automata(benchmark, window, group_bytes)):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
-        docs = _matched(docs, shared, text, list(dict.fromkeys([*kept, text])), out, k > 0)
-        if k % 4 == 3:
+    held = list(dict.fromkeys([*kept, text]))
+    found = automata(benchmark, window, group_bytes)
+    k, now = 0, next(found)
+    while now is not None:
+        following = next(found, None)
+        shared = docs.sparkSession.sparkContext.broadcast(now)
+        docs = _matched(docs, shared, text, held, out, k > 0, cut and following is None)
+        k, now = k + 1, following
+        if k % 4 == 0 and now is not None:
             docs = cut_lineage(docs)
     return docs.select(*kept, *out.fieldNames())
 
 
-def _matched(docs: DataFrame, shared, text: str, kept: list[str], out: T.StructType, again: bool) -> DataFrame:
+def _matched(docs: DataFrame, shared, text: str, kept: list[str], out: T.StructType, again: bool, cut: bool) -> DataFrame:
+    made = T.StructType([*out.fields, T.StructField(text, T.StringType())]) if cut else out
+
     def make():
         automaton = shared.value
 
         def work(texts, *before):
-            n, hit, spans, items = [], [], [], []
+            n, hit, spans, items, left = [], [], [], [], []
             old = zip(*(c.to_pylist() for c in before), strict=True) if again else None
-            for t in utf8(texts):
-                words = words_of(t)
+            for t in texts.cast(pa.binary()).to_pylist():
+                words = words_of(t or b"")
                 s, found = automaton.scan(words)
                 if old:
                     flat, names = next(old)
@@ -191,11 +205,14 @@ def _matched(docs: DataFrame, shared, text: str, kept: list[str], out: T.StructT
                 hit.append(sum(e - b for b, e in s))
                 spans.append([x for p in s for x in p])
                 items.append(sorted(found))
-            return [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+                if cut:
+                    left.append(remove_spans(t, spans[-1]) if s else t)
+            new = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+            return [*new, pa.array(left, pa.binary()).cast(pa.string())] if cut else new
 
         return work
 
-    return arrow_columns(docs, [text, *(["hit_spans", "hit_items"] if again else [])], out, make, kept)
+    return arrow_columns(docs, [text, *(["hit_spans", "hit_items"] if again else [])], made, make, kept)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,7 +228,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str
     )
 
 
-def remove_spans(text: bytes, spans: list[int]) -> str:
+def remove_spans(text: bytes, spans: list[int]) -> bytes:
     """text without the words of the spans and what lies between the words of one span."""
     words = [m.span() for m in WORD.finditer(text)]
     keep, at = [], 0
@@ -219,7 +236,7 @@ def remove_spans(text: bytes, spans: list[int]) -> str:
         keep.append(text[at : words[s][0]])
         at = words[e - 1][1]
     keep.append(text[at:])
-    return b"".join(keep).decode("utf-8", "replace")
+    return b"".join(keep)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
@@ -229,16 +246,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     text, and n_chars follows. Rows of which more than max_coverage of the words are
     hit go as a whole. Other rows and columns stay as they are, null texts included.
     """
-    found = with_matches(docs, benchmark, window).where(F.col("n_hit") <= F.col("n_words") * F.lit(float(max_coverage)))
-
-    def make():
-        def work(texts, spans):
-            cut = [remove_spans(t.encode(), s) if s else t for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)]
-            yield pa.array(cut, pa.string())
-
-        return work
-
-    cleaned = arrow_columns(found, ["text", "hit_spans"], struct(("text", T.StringType())), make)
+    found = with_matches(docs, benchmark, window, cut=True)
+    cleaned = found.where(F.col("n_hit") <= F.col("n_words") * F.lit(float(max_coverage)))
     changed = F.size("hit_spans") > 0
     out = {c: F.col(c) for c in docs.columns}
     if "n_chars" in out:
