@@ -90,8 +90,10 @@ def orientation(segmented: DataFrame, knots: DataFrame) -> DataFrame:
     base = rotation_prefix(with_idles(knots)).selectExpr("run", "idx + 3 AS idx", "qw AS ow", "qx AS ox", "qy AS oy", "qz AS oz")
     df = segmented.join(base, ["run", "idx"], "left").fillna({"ow": 1.0, "ox": 0.0, "oy": 0.0, "oz": 0.0})
     for k in range(4):
-        turn = quat_exp(tuple(f"{weight(CUMULATIVE[k], 'u')}*d{c}{k}" for c in "xyz"))
-        df = with_quat(df, "e", turn)
+        # Column by column, so that no expression holds another several times.
+        df = df.withColumns({f"h{c}": F.expr(f"{weight(CUMULATIVE[k], 'u')}*d{c}{k}") for c in "xyz"})
+        df = df.withColumn("hn", F.expr("sqrt(hx*hx + hy*hy + hz*hz)")).withColumn("hs", F.expr("CASE WHEN hn = 0 THEN 1e0 ELSE sin(hn)/hn END"))
+        df = with_quat(df, "e", ("cos(hn)", "hs*hx", "hs*hy", "hs*hz")).drop("hx", "hy", "hz", "hn", "hs")
         df = df.selectExpr("*", *[f"{e} AS m{c}" for c, e in zip("wxyz", quat_mul(quat("o"), quat("e")), strict=True)])
         df = df.drop("ow", "ox", "oy", "oz", "ew", "ex", "ey", "ez").withColumnsRenamed({f"m{c}": f"o{c}" for c in "wxyz"})
     return df.withColumn("on", F.expr("sqrt(ow*ow + ox*ox + oy*oy + oz*oz)")).withColumns({f"o{c}": F.col(f"o{c}") / F.col("on") for c in "wxyz"}).drop("on")

@@ -65,5 +65,5 @@ class RunConfig:
 def sensor_table(spark: SparkSession, sensors: tuple[Sensor, ...]) -> DataFrame:
     """One row per sensor; a configuration names a handful, so joins may broadcast it."""
     rows = [(s.name, s.kind, s.scan_line, s.blind, s.w_pt, *s.body_frame()[0], *s.body_frame()[1]) for s in sensors]
-    schema = "sensor string, kind string, scan_line int, blind double, w_pt double, bw double, bx double, by double, bz double, tx double, ty double, tz double"
+    schema = "sensor string, kind string, scan_line int, blind double, w_pt double, rw double, rx double, ry double, rz double, tx double, ty double, tz double"
     return spark.createDataFrame(rows, schema)
