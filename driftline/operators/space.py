@@ -108,11 +108,20 @@ def plane_of(neighbours: DataFrame) -> DataFrame:
     """
     picks = [F.max(F.when(F.col("rn") == i, F.col(c))).alias(f"{c}{i}") for i in range(1, 6) for c in "xyz"]
     wide = neighbours.where("rn <= 5").groupBy("qid", "qx", "qy", "qz").agg(*picks, F.max("rn").alias("n")).where("n >= 5")
-    return wide.selectExpr("*", *[f"{e} AS {n}" for n, e in plane_sums().items()]).selectExpr("*", *[f"{e} AS {n}" for n, e in plane_minors().items()]).where(
-        "abs(det) > 1e-12"
-    ).selectExpr("*", *[f"{e} AS {n}" for n, e in plane_solution().items()]).selectExpr(
+    sums = settled(settled(wide, plane_sums()), plane_minors()).where("abs(det) > 1e-12")
+    return settled(settled(sums, plane_solution()), {"un": "sqrt(ux*ux + uy*uy + uz*uz)"}).selectExpr(
         "*", "ux/un AS nx", "uy/un AS ny", "uz/un AS nz", "1e0/un AS d"
-    )
+    )
+
+
+def settled(df: DataFrame, made: dict[str, str]) -> DataFrame:
+    """df with the named expressions, as columns that later ones refer to and don't repeat.
+
+    The optimizer would else write each expression out wherever its name is used, and
+    a filter on a plane's residual would hold thousands of copies.
+    """
+    row = "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in made.items()) + ")"
+    return df.selectExpr("*", f"inline(array({row}))")
 
 
 def plane_sums() -> dict[str, str]:
@@ -129,4 +138,4 @@ def plane_solution() -> dict[str, str]:
     ux = "(-(sx*(syy*szz - syz*syz) - sxy*(sy*szz - syz*sz) + sxz*(sy*syz - syy*sz)) / det)"
     uy = "(-(sxx*(sy*szz - syz*sz) - sx*(sxy*szz - syz*sxz) + sxz*(sxy*sz - sy*sxz)) / det)"
     uz = "(-(sxx*(syy*sz - sy*syz) - sxy*(sxy*sz - sy*sxz) + sx*(sxy*syz - syy*sxz)) / det)"
-    return {"ux": ux, "uy": uy, "uz": uz, "un": f"sqrt({ux}*{ux} + {uy}*{uy} + {uz}*{uz})"}
+    return {"ux": ux, "uy": uy, "uz": uz}
