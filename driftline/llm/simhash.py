@@ -145,10 +145,17 @@ def near_duplicates(
 
 
 def _labelled(prints: DataFrame, distance: int = 2, blocks: int = 4, bucket: int = 64) -> DataFrame:
-    """prints (doc_id, fingerprint, more) with component_id and the component's root."""
+    """prints (doc_id, fingerprint, more) with component_id and the component's root.
+
+    With a column `sketch`, texts of high similarity are linked besides (similar_links()).
+    """
     prints = cut_lineage(prints)
     groups = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(close_links(groups.select(F.col("fingerprint").alias("fp")), distance, blocks, bucket))
+    links = close_links(groups.select(F.col("fingerprint").alias("fp")), distance, blocks, bucket)
+    if "sketch" in prints.columns:
+        links = links.unionByName(similar_links(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("sketch").alias("sketch"))))
+        prints = prints.drop("sketch")
+    roots = connected_components(links)
     rooted = groups.join(roots, groups.fingerprint == roots.node, "left").select(
         "fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")
     )
@@ -156,18 +163,88 @@ def _labelled(prints: DataFrame, distance: int = 2, blocks: int = 4, bucket: int
     return prints.join(rooted.join(least, "root").select("fingerprint", "root", "component_id"), "fingerprint")
 
 
+SKETCH, KEYS = 192, 8
+
+
+def sketch_of(text: bytes, shingle: int = 5) -> bytes:
+    """The least SKETCH distinct hashes (32 bits, ascending) of the word shingles."""
+    words = text.lower().split()
+    k = min(shingle, len(words))
+    joined = {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else {b""}
+    codes = np.unique(np.fromiter((xxhash.xxh32_intdigest(g) for g in joined), np.uint32, len(joined)))
+    return codes[:SKETCH].astype("<u4").tobytes()
+
+
+def sketch_similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two texts' shingles: exact up to SKETCH shingles in all, else estimated."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = np.union1d(x, y)
+    if len(x) == SKETCH or len(y) == SKETCH:
+        both = both[:SKETCH]
+    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).sum() / len(both))
+
+
+def similar_links(sketches: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Edges (a, b) between fingerprints whose texts reach the similarity in five-word shingles.
+
+    Two bits of 64 hold near-identical texts only: at a similarity of 0.8 fingerprints
+    differ in about ten, beyond any useful choice of blocks. So texts are also blocked by
+    their KEYS least shingle hashes, of which similar texts share some (0.8: all but
+    never none). In each block every member is held against two leaders drawn by hash,
+    never all against all; copies share several blocks and so meet several leaders.
+    """
+    held = cut_lineage(sketches)
+    codes = F.transform(F.sequence(F.lit(0), F.least(F.lit(KEYS), (F.length("sketch") / 4).cast("int")) - 1), lambda i: F.hex(F.substring("sketch", i * 4 + 1, F.lit(4))))
+    dealt = held.select("fp", F.explode(codes).alias("key"))
+    draw = F.xxhash64("key", "fp")
+    leaders = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min_by("fp", draw).alias("l1"), F.max_by("fp", draw).alias("l2")).where("n > 1")
+    pairs = (
+        dealt.join(leaders, "key")
+        .select("fp", F.explode(F.array("l1", "l2")).alias("leader"))
+        .where("fp <> leader")
+        .select(F.greatest("fp", "leader").alias("a"), F.least("fp", "leader").alias("b"))
+        .distinct()
+    )
+    sides = pairs.join(held.select(F.col("fp").alias("a"), F.col("sketch").alias("sa")), "a").join(
+        held.select(F.col("fp").alias("b"), F.col("sketch").alias("sb")), "b"
+    )
+
+    def make():
+        def work(left, right):
+            yield pa.array([sketch_similarity(x, y) for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.float64())
+
+        return work
+
+    return arrow_columns(sides, ["sa", "sb"], struct(("s", T.DoubleType())), make, ["a", "b"]).where(F.col("s") >= similarity).select("a", "b")
+
+
+def _with_both(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """docs with fingerprint and sketch, from one pass over the texts."""
+
+    def make():
+        def work(texts):
+            rows = utf8(texts)
+            yield pa.array(np.array([simhash(t) for t in rows], np.uint64).view(np.int64))
+            yield pa.array([sketch_of(t) for t in rows], pa.binary())
+
+        return work
+
+    return arrow_columns(docs, ["text"], struct(("fingerprint", T.LongType()), ("sketch", T.BinaryType())), make, carry)
+
+
 def drop_near_duplicates(docs: DataFrame, distance: int = 2) -> DataFrame:
-    """One row of each component of near-duplicates: that of the smallest doc_id.
+    """One row of each group of near-duplicates: that of the smallest doc_id.
 
-    Ties on doc_id go to one text; of wholly repeated (doc_id, text) rows one stays.
-    A null doc_id wins only in a component without any other. All columns stay.
+    Rows are in a group if linked by fingerprints within `distance` bits or by a
+    similarity of 0.8 in five-word shingles. Ties on doc_id go to one text; of wholly
+    repeated (doc_id, text) rows one stays. A null doc_id wins only in a group without
+    any other. All columns stay.
     """
     keys = [
         F.coalesce("doc_id", F.lit(-1)).alias("__id"),
         F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text")).alias("__row"),
     ]
-    keyed = docs.select("doc_id", "text", *keys)
-    prints = with_fingerprint(keyed, "text", carry=["doc_id", "__id", "__row"])
+    prints = _with_both(docs.select("doc_id", "text", *keys), ["doc_id", "__id", "__row"])
     order = F.struct(F.col("doc_id").isNull(), F.col("__id"), F.col("__row"))
     first = _labelled(prints, distance).groupBy("root").agg(F.min(order).alias("o")).select("o.__id", "o.__row")
     return (

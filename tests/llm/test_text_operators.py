@@ -116,12 +116,44 @@ def test_components_of_chains_and_loops(spark):
     assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def shingles(text):
+    words = ascii_words(lowered(text))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
 def test_drop_near_duplicates_keeps_one_of_each(docs, rows):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    found = simhash.near_duplicates(docs)
-    assert kept.count() == found.select("component_id").distinct().count()
     assert [r.doc_id for r in kept.where("text like 'same text%'").collect()] == [9007]
+    texts = sorted({t for _, t, _ in rows})
+    left = Counter(r.text or "" for r in kept.collect())
+    assert max(left.values()) == 1
+    sets = {t: shingles(t) for t in texts}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    alone = [t for t in texts if all(alike(t, o) < 0.6 for o in texts if o != t)]
+    assert alone and all(left[t] for t in alone if len(ascii_words(t)) > 5)
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            if alike(a, b) >= 0.85:
+                assert not (left[a] and left[b])
+
+
+def test_near_copies_are_found_and_others_left(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [[word() for _ in range(200)] for _ in range(6)]
+    texts = []
+    for b in base:
+        for _ in range(40):
+            copy = list(b)
+            for _ in range(rng.randint(0, 2)):
+                copy[rng.randrange(200)] = word()
+            texts.append(" ".join(copy))
+    passage = [word() for _ in range(80)]
+    texts += [" ".join([word() for _ in range(120)] + passage) for _ in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == [0, 40, 80, 120, 160, 200, *range(240, 280)]
+    assert abs(simhash.sketch_similarity(simhash.sketch_of(texts[0].encode()), simhash.sketch_of(texts[1].encode())) - len(shingles(texts[0]) & shingles(texts[1])) / len(shingles(texts[0]) | shingles(texts[1]))) < 0.08
 
 
 def test_chat_round_trip(spark):
