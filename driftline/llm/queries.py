@@ -83,6 +83,47 @@ SELECT conv_id, count(*) AS n_turns,
 FROM rows GROUP BY conv_id
 """
 
+OP7_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), cut AS (
+  SELECT r, host, t, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT r, host, t, unnest(string_split(t, chr(10))) AS line FROM docs)
+), lines AS (
+  SELECT r, host, t, line, array_to_string(w, ' ') AS plain, len(w) AS size FROM cut WHERE len(w) > 0
+), dups AS (
+  SELECT r, sum(n - 1) AS n FROM (SELECT r, line, count(*) AS n FROM lines GROUP BY r, line) GROUP BY r
+), hosts AS (
+  SELECT host, count(DISTINCT t) AS n_texts FROM docs GROUP BY host
+), frequent AS (
+  SELECT host, plain FROM lines JOIN hosts USING (host) GROUP BY host, plain, n_texts
+  HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > n_texts * CAST(0.01 AS DOUBLE)
+), removed AS (
+  SELECT r, sum(size) AS n FROM lines JOIN frequent USING (host, plain) GROUP BY r
+), places AS (
+  SELECT r, i, array_to_string(w[i : i + 7], ' ') AS s
+  FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM docs WHERE len(w) > 8)
+), twice AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM places) WHERE n > 1
+), repeats AS (
+  SELECT r, count(DISTINCT i + o) AS n FROM (SELECT r, i, unnest(range(0, 8)) AS o FROM twice) GROUP BY r
+), measured AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+    coalesce(dups.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, coalesce(removed.n, 0) AS removed_words
+  FROM docs LEFT JOIN dups USING (r) LEFT JOIN repeats USING (r) LEFT JOIN removed USING (r)
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    removed_words > 0 AND (n_words - removed_words < 20 OR 2 * (n_words - removed_words) < n_words) AS depleted
+  FROM measured
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(removed_words AS BIGINT) AS removed_words,
+  base_failed, NOT base_failed AND NOT depleted AS kept
+FROM judged
+"""
+
 OP10_SQL = r"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -111,4 +152,4 @@ FROM docs d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items t USING (do
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op2_chat_format": OP2_SQL, "op7_quality_rules": OP7_SQL, "op10_decontaminate": OP10_SQL}

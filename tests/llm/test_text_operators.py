@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm import bpe, chat, components, decontam, html_text, licenses, quality_gam, quality_rules, queries, secrets, sharding, simhash
 from driftline.llm.common import table
+from tests.sql_compare import compare
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LONG = " ".join(f"w{i % 977}x" for i in range(60_000))
@@ -420,3 +421,8 @@ def test_decontamination(docs, spark, sf_dir):
 def test_every_query_runs(spark, sf_dir):
     for name, query in queries.queries().items():
         assert query(spark, sf_dir).count() > 0, name
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, sf_dir, name):
+    compare(spark, sf_dir, queries.queries()[name], queries.oracle_sql()[name])
