@@ -149,3 +149,18 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     query.awaitTermination(120)
     want = {tuple(r) for r in windows.tumbling(events, "1 hour", "60 days").collect()}
     assert {tuple(r) for r in spark.table("tumbling").collect()} == want
+
+
+def test_plane_fit_equals_least_squares(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for q in range(40):
+        pts = rng.normal(size=(6, 3)) * 0.3 + rng.normal(size=3) * 4
+        rows += [(q, 0.0, 0.0, 0.0, i + 1, *map(float, p)) for i, p in enumerate(pts[: 4 if q == 39 else 6])]
+        n = np.linalg.lstsq(pts[:5], -np.ones(5), rcond=None)[0]
+        want[q] = [*(n / np.linalg.norm(n)), 1 / np.linalg.norm(n)]
+    rows += [(50, 0.0, 0.0, 0.0, i + 1, float(i), float(i * i), 0.0) for i in range(5)]
+    near = spark.createDataFrame(rows, "qid int, qx double, qy double, qz double, rn int, x double, y double, z double")
+    got = {r.qid: [r.nx, r.ny, r.nz, r.d] for r in space.plane_of(near).collect()}
+    assert sorted(got) == list(range(39))
+    assert all(np.allclose(got[q], want[q], rtol=1e-6, atol=1e-7) for q in got)
