@@ -184,27 +184,33 @@ def sketch_similarity(a: bytes, b: bytes) -> float:
     return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).sum() / len(both))
 
 
-def similar_links(sketches: DataFrame, similarity: float = 0.8) -> DataFrame:
+def similar_links(sketches: DataFrame, similarity: float = 0.8, bucket: int = 16, leaders: int = 4) -> DataFrame:
     """Edges (a, b) between fingerprints whose texts reach the similarity in five-word shingles.
 
     Two bits of 64 hold near-identical texts only: at a similarity of 0.8 fingerprints
     differ in about ten, beyond any useful choice of blocks. So texts are also blocked by
-    their KEYS least shingle hashes, of which similar texts share some (0.8: all but
-    never none). In each block every member is held against two leaders drawn by hash,
-    never all against all; copies share several blocks and so meet several leaders.
+    their KEYS least shingle hashes, of which similar texts share some (at 0.8 about
+    seven of eight). In blocks of up to `bucket` members each pair is held against each
+    other. Larger ones come of large groups of copies or of frequent passages: there each
+    member is held against a few leaders drawn by hash, never all against all; copies
+    share several blocks and so meet many leaders, and similar texts that share a
+    passage with many also share a small block.
     """
     held = cut_lineage(sketches)
     codes = F.transform(F.sequence(F.lit(0), F.least(F.lit(KEYS), (F.length("sketch") / 4).cast("int")) - 1), lambda i: F.hex(F.substring("sketch", i * 4 + 1, F.lit(4))))
     dealt = held.select("fp", F.explode(codes).alias("key"))
-    draw = F.xxhash64("key", "fp")
-    leaders = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min_by("fp", draw).alias("l1"), F.max_by("fp", draw).alias("l2")).where("n > 1")
-    pairs = (
-        dealt.join(leaders, "key")
-        .select("fp", F.explode(F.array("l1", "l2")).alias("leader"))
+    drawn = [f(F.col("fp"), F.xxhash64("key", "fp", F.lit(i))) for i in range(leaders // 2) for f in (F.min_by, F.max_by)]
+    blocks = dealt.groupBy("key").agg(F.count("*").alias("n"), F.array(*drawn).alias("leaders")).where("n > 1")
+    shared = cut_lineage(dealt.join(blocks, "key"))
+    small = shared.where(F.col("n") <= bucket).select("key", "fp")
+    close = small.withColumnRenamed("fp", "b").join(small.withColumnRenamed("fp", "a"), "key").where("a > b").select("a", "b")
+    stars = (
+        shared.where(F.col("n") > bucket)
+        .select("fp", F.explode("leaders").alias("leader"))
         .where("fp <> leader")
         .select(F.greatest("fp", "leader").alias("a"), F.least("fp", "leader").alias("b"))
-        .distinct()
     )
+    pairs = close.unionByName(stars).distinct()
     sides = pairs.join(held.select(F.col("fp").alias("a"), F.col("sketch").alias("sa")), "a").join(
         held.select(F.col("fp").alias("b"), F.col("sketch").alias("sb")), "b"
     )

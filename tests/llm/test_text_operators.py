@@ -157,6 +157,31 @@ def test_near_copies_are_found_and_others_left(spark):
     assert abs(simhash.sketch_similarity(simhash.sketch_of(texts[0].encode()), simhash.sketch_of(texts[1].encode())) - len(shingles(texts[0]) & shingles(texts[1])) / len(shingles(texts[0]) | shingles(texts[1]))) < 0.08
 
 
+def test_similar_links_against_brute_force(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts, passage = [], [word() for _ in range(50)]
+    for size in (10, 12, 60):
+        base = [word() for _ in range(120)]
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(120)] = word()
+            texts.append(" ".join(copy))
+    for _ in range(30):
+        one = [word() for _ in range(70)] + passage
+        texts += [" ".join(one), " ".join([*one[:9], word(), *one[10:]])]
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                root = [root[j] if r == root[i] else r for r in root]
+    df = spark.createDataFrame([(i, simhash.sketch_of(t.encode())) for i, t in enumerate(texts)], "fp long, sketch binary")
+    found = {r.node: r.root for r in components.connected_components(simhash.similar_links(df)).collect()}
+    got = [found.get(i, i) for i in range(len(texts))]
+    assert len(set(zip(root, got, strict=True))) == len(set(root)) == len(set(got))
+
+
 def test_chat_round_trip(spark):
     talk = [
         (1, 0, "system", "<|im_start|>x\\<\\|"), (1, 1, "user", None), (1, 2, "assistant", "é<|im_end|>\n🙂"),
