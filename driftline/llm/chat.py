@@ -72,10 +72,9 @@ class ChatTokenizer:
     def text(self, ids: list[int]) -> str:
         """The formatted text of ids."""
         out, at = [], 0
-        for i, x in enumerate(ids):
-            if x in (self.start, self.end):
-                out += [self.decode(ids[at:i]), START if x == self.start else END]
-                at = i + 1
+        for i in np.flatnonzero(np.array(ids, np.int32) >= self.start).tolist():
+            out += [self.decode(ids[at:i]), START if ids[i] == self.start else END]
+            at = i + 1
         return "".join([*out, self.decode(ids[at:])])
 
 
@@ -155,10 +154,12 @@ class _Reader:
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n = self.loss_chars = self.chars = 0
 
-    def feed(self, ids: list[int], mask: list[int]) -> None:
+    def feed(self, ids: list[int], mask: np.ndarray) -> None:
         t = self.t
         self.chars += len(t.text(ids))
-        edge = np.flatnonzero(np.diff(np.array([0, *mask, 0], np.int8)))
+        held = np.zeros(len(mask) + 2, np.int8)
+        held[1:-1] = mask
+        edge = np.flatnonzero(held[1:] != held[:-1])
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             text = unescape(t.decode(ids[a:b]))
             self.loss_chars += len(text)
@@ -203,7 +204,7 @@ def read_back(turns: DataFrame, path: str | None = None, pattern: str | None = N
                     if reader is not None:
                         rows.append(reader.row())
                     reader = _Reader(tokenizer, conv)
-                reader.feed(ids.as_py(), mask.as_py())
+                reader.feed(ids.values.to_numpy().tolist(), mask.values.to_numpy())
             if rows:
                 yield _batch(rows)
                 rows = []
