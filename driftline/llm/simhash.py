@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -144,17 +145,23 @@ def near_duplicates(
     return _labelled(prints, distance, blocks, bucket).select("doc_id", "fingerprint", "component_id")
 
 
-def _labelled(prints: DataFrame, distance: int = 2, blocks: int = 4, bucket: int = 64) -> DataFrame:
+def _labelled(prints: DataFrame, distance: int = 2, blocks: int = 4, bucket: int = 64, rows: DataFrame | None = None) -> DataFrame:
     """prints (doc_id, fingerprint, more) with component_id and the component's root.
 
-    With a column `sketch`, texts of high similarity are linked besides (similar_links()).
+    With a column `sketch` (and item, n), texts of high similarity are linked besides
+    (similar_links()); rows then has the texts by __id and __row.
     """
     prints = cut_lineage(prints)
     groups = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
     links = close_links(groups.select(F.col("fingerprint").alias("fp")), distance, blocks, bucket)
     if "sketch" in prints.columns:
-        links = links.unionByName(similar_links(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("sketch").alias("sketch"))))
-        prints = prints.drop("sketch")
+        items = prints.groupBy("item").agg(
+            F.min("fingerprint").alias("fp"), F.min("n").alias("n"), F.min(F.struct("__id", "__row")).alias("rep"), F.min("sketch").alias("sketch")
+        )
+        items = cut_lineage(items)
+        equal = prints.join(items.select("item", "fp"), "item").where("fingerprint <> fp").select(F.col("fingerprint").alias("a"), F.col("fp").alias("b")).distinct()
+        links = similar_links(items, known=links.unionByName(equal), whole=_reader(items, rows))
+        prints = prints.drop("sketch", "item", "n")
     roots = connected_components(links)
     rooted = groups.join(roots, groups.fingerprint == roots.node, "left").select(
         "fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")
@@ -164,15 +171,30 @@ def _labelled(prints: DataFrame, distance: int = 2, blocks: int = 4, bucket: int
 
 
 SKETCH, KEYS = 192, 8
+#: Sketches that say less than this are of no pair above 0.8: over six standard errors.
+CLEAR_MISS = 0.6
 
 
-def sketch_of(text: bytes, shingle: int = 5) -> bytes:
-    """The least SKETCH distinct hashes (32 bits, ascending) of the word shingles."""
+def _distinct_shingles(text: bytes, shingle: int = 5) -> set[bytes]:
     words = text.lower().split()
     k = min(shingle, len(words))
-    joined = {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else {b""}
-    codes = np.unique(np.fromiter((xxhash.xxh32_intdigest(g) for g in joined), np.uint32, len(joined)))
-    return codes[:SKETCH].astype("<u4").tobytes()
+    return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else {b""}
+
+
+def _codes(text: bytes, shingle: int = 5) -> np.ndarray:
+    joined = _distinct_shingles(text, shingle)
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(g) for g in joined), np.uint32, len(joined))).astype("<u4")
+
+
+def sketch_of(text: bytes, shingle: int = 5) -> bytes:
+    """The least SKETCH distinct hashes (32 bits, ascending) of the word shingles."""
+    return _codes(text, shingle)[:SKETCH].tobytes()
+
+
+def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
+    """All distinct hashes (64 bits, signed) of the word shingles."""
+    joined = _distinct_shingles(text, shingle)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g) for g in joined), np.uint64, len(joined))).view(np.int64)
 
 
 def sketch_similarity(a: bytes, b: bytes) -> float:
@@ -184,36 +206,51 @@ def sketch_similarity(a: bytes, b: bytes) -> float:
     return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).sum() / len(both))
 
 
-def similar_links(sketches: DataFrame, similarity: float = 0.8, bucket: int = 16, leaders: int = 4) -> DataFrame:
-    """Edges (a, b) between fingerprints whose texts reach the similarity in five-word shingles.
+def similar_links(
+    sketches: DataFrame,
+    similarity: float = 0.8,
+    bucket: int = 16,
+    leaders: int = 4,
+    known: DataFrame | None = None,
+    whole: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Edges (a, b) that connect fingerprints whose texts reach the similarity in five-word shingles.
+
+    sketches: fp, sketch, and for texts beyond SKETCH shingles item (one per distinct
+    set of shingles) and n (its size), with whole(items) giving (item, set). known:
+    further edges, which the result connects too.
 
     Two bits of 64 hold near-identical texts only: at a similarity of 0.8 fingerprints
     differ in about ten, beyond any useful choice of blocks. So texts are also blocked by
     their KEYS least shingle hashes, of which similar texts share some (at 0.8 about
     seven of eight). In blocks of up to `bucket` members each pair is held against each
-    other. Larger ones come of large groups of copies or of frequent passages: there each
-    member is held against a few leaders drawn by hash, never all against all; copies
-    share several blocks and so meet many leaders, and similar texts that share a
-    passage with many also share a small block.
+    other; in larger ones (groups of copies, frequent passages) each member against a
+    few leaders, which joins most copies. Sketches only discard clear misses.
     """
-    held = cut_lineage(sketches)
+    if "item" not in sketches.columns:
+        sketches = sketches.select("fp", F.col("fp").alias("item"), (F.length("sketch") / 4).cast("long").alias("n"), "sketch")
+    held = cut_lineage(sketches.select("item", "fp", "n", "sketch"))
     codes = F.transform(F.sequence(F.lit(0), F.least(F.lit(KEYS), (F.length("sketch") / 4).cast("int")) - 1), lambda i: F.hex(F.substring("sketch", i * 4 + 1, F.lit(4))))
-    dealt = held.select("fp", F.explode(codes).alias("key"))
-    drawn = [f(F.col("fp"), F.xxhash64("key", "fp", F.lit(i))) for i in range(leaders // 2) for f in (F.min_by, F.max_by)]
-    blocks = dealt.groupBy("key").agg(F.count("*").alias("n"), F.array(*drawn).alias("leaders")).where("n > 1")
+    dealt = held.select("item", "fp", F.explode(codes).alias("key"))
+    drawn = [f(F.col("item"), F.xxhash64("key", "item", F.lit(i))) for i in range(leaders // 2) for f in (F.min_by, F.max_by)]
+    blocks = dealt.groupBy("key").agg(F.count("*").alias("size"), F.array(*drawn).alias("leaders")).where("size > 1")
     shared = cut_lineage(dealt.join(blocks, "key"))
-    small = shared.where(F.col("n") <= bucket).select("key", "fp")
-    close = small.withColumnRenamed("fp", "b").join(small.withColumnRenamed("fp", "a"), "key").where("a > b").select("a", "b")
+    small = shared.where(F.col("size") <= bucket).select("key", "item")
+    close = small.withColumnRenamed("item", "b").join(small.withColumnRenamed("item", "a"), "key").where("a > b").select("a", "b")
+    large = shared.where(F.col("size") > bucket)
     stars = (
-        shared.where(F.col("n") > bucket)
-        .select("fp", F.explode("leaders").alias("leader"))
-        .where("fp <> leader")
-        .select(F.greatest("fp", "leader").alias("a"), F.least("fp", "leader").alias("b"))
-    )
-    pairs = close.unionByName(stars).distinct()
-    sides = pairs.join(held.select(F.col("fp").alias("a"), F.col("sketch").alias("sa")), "a").join(
-        held.select(F.col("fp").alias("b"), F.col("sketch").alias("sb")), "b"
+        large.select("item", F.explode("leaders").alias("leader"))
+        .where("item <> leader")
+        .select(F.greatest("item", "leader").alias("a"), F.least("item", "leader").alias("b"))
     )
+    links = _reaching(close.unionByName(stars).distinct(), held, similarity, whole)
+    return links if known is None else links.unionByName(known)
+
+
+def _reaching(pairs: DataFrame, held: DataFrame, similarity: float, whole: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """The fingerprints (a, b) of those pairs of items that reach the similarity, judged by their whole sets."""
+    side = lambda x: held.select(F.col("item").alias(x), *[F.col(c).alias(c + x) for c in ("fp", "n", "sketch")])
+    sides = pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("fpa") != F.col("fpb")) & (F.least("na", "nb") / F.greatest("na", "nb") >= similarity))
 
     def make():
         def work(left, right):
@@ -221,21 +258,55 @@ def similar_links(sketches: DataFrame, similarity: float = 0.8, bucket: int = 16
 
         return work
 
-    return arrow_columns(sides, ["sa", "sb"], struct(("s", T.DoubleType())), make, ["a", "b"]).where(F.col("s") >= similarity).select("a", "b")
+    judged = arrow_columns(sides, ["sketcha", "sketchb"], struct(("s", T.DoubleType())), make, ["a", "b", "fpa", "fpb", "na", "nb"])
+    edges = [F.col("fpa").alias("a"), F.col("fpb").alias("b")]
+    if whole is None:
+        return judged.where(F.col("s") >= similarity).select(*edges)
+    full = F.greatest("na", "nb") < SKETCH  # sketches that are the whole sets
+    judged = cut_lineage(judged.where(F.col("s") >= F.when(full, similarity).otherwise(min(CLEAR_MISS, similarity))))
+    unsure = judged.where(~full)
+    sets = cut_lineage(whole(unsure.select(F.explode(F.array("a", "b")).alias("item")).distinct()))
+    of = lambda x: sets.select(F.col("item").alias(x), F.col("set").alias(f"set{x}"))
+    both = F.array(F.size(F.array_intersect("seta", "setb")))
+    exact = unsure.join(of("a"), "a").join(of("b"), "b").where(F.exists(both, lambda o: o / (F.size("seta") + F.size("setb") - o) >= similarity))
+    return judged.where(full).select(*edges).unionByName(exact.select(*edges))
+
+
+#: Rows whose keys are sent to all tasks rather than exchanged with the texts.
+SENT_ROWS = 200_000
+
+
+def _reader(items: DataFrame, rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Makes (item, set) of all shingles from the texts of the items asked for."""
+
+    def make():
+        return lambda texts: [pa.array([shingle_set(t) for t in utf8(texts)], pa.list_(pa.int64()))]
+
+    def whole(asked: DataFrame) -> DataFrame:
+        places = cut_lineage(items.join(asked, "item", "left_semi").select("item", "rep.__id", "rep.__row"))
+        places = F.broadcast(places) if places.count() <= SENT_ROWS else places
+        texts = rows.join(places, ["__id", "__row"]).select("item", "text").dropDuplicates(["item"])
+        return arrow_columns(texts, ["text"], struct(("set", T.ArrayType(T.LongType()))), make, ["item"])
+
+    return whole
 
 
 def _with_both(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """docs with fingerprint and sketch, from one pass over the texts."""
+    """docs with fingerprint, sketch, the number n of shingles and a code of their set, from one pass over the texts."""
 
     def make():
         def work(texts):
             rows = utf8(texts)
+            codes = [_codes(t) for t in rows]
             yield pa.array(np.array([simhash(t) for t in rows], np.uint64).view(np.int64))
-            yield pa.array([sketch_of(t) for t in rows], pa.binary())
+            yield pa.array([c[:SKETCH].tobytes() for c in codes], pa.binary())
+            yield pa.array([len(c) for c in codes], pa.int64())
+            yield pa.array(np.array([xxhash.xxh64_intdigest(c.tobytes()) for c in codes], np.uint64).view(np.int64))
 
         return work
 
-    return arrow_columns(docs, ["text"], struct(("fingerprint", T.LongType()), ("sketch", T.BinaryType())), make, carry)
+    out = struct(("fingerprint", T.LongType()), ("sketch", T.BinaryType()), ("n", T.LongType()), ("item", T.LongType()))
+    return arrow_columns(docs, ["text"], out, make, carry)
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = 2) -> DataFrame:
@@ -252,7 +323,7 @@ def drop_near_duplicates(docs: DataFrame, distance: int = 2) -> DataFrame:
     ]
     prints = _with_both(docs.select("doc_id", "text", *keys), ["doc_id", "__id", "__row"])
     order = F.struct(F.col("doc_id").isNull(), F.col("__id"), F.col("__row"))
-    first = _labelled(prints, distance).groupBy("root").agg(F.min(order).alias("o")).select("o.__id", "o.__row")
+    first = _labelled(prints, distance, rows=docs.select("text", *keys)).groupBy("root").agg(F.min(order).alias("o")).select("o.__id", "o.__row")
     return (
         docs.select("*", *keys)
         .join(first, ["__id", "__row"], "left_semi")

@@ -182,6 +182,30 @@ def test_similar_links_against_brute_force(spark):
     assert len(set(zip(root, got, strict=True))) == len(set(root)) == len(set(got))
 
 
+def _left_alone(texts):
+    """Least number of each group of texts linked by exact similarity."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    return sorted(set(root))
+
+
+def test_similarity_of_long_texts_is_exact(spark):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for k in range(40):  # from 80 to 95 of 800 words replaced: similarity on either side of 0.8
+        one = [word() for _ in range(800)]
+        cut = 80 + k % 16
+        texts += [" ".join(one), " ".join([*one[: 800 - cut], *[word() for _ in range(cut)]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = _left_alone(texts)
+    assert len(texts) // 2 < len(want) < len(texts)
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == want
+
+
 def test_chat_round_trip(spark):
     talk = [
         (1, 0, "system", "<|im_start|>x\\<\\|"), (1, 1, "user", None), (1, 2, "assistant", "é<|im_end|>\n🙂"),
