@@ -225,7 +225,8 @@ def similar_links(
     their KEYS least shingle hashes, of which similar texts share some (at 0.8 about
     seven of eight). In blocks of up to `bucket` members each pair is held against each
     other; in larger ones (groups of copies, frequent passages) each member against a
-    few leaders, which joins most copies. Sketches only discard clear misses.
+    few leaders, which joins most copies. What larger blocks still hold in more than one
+    component goes the exact way of _crossing(). Sketches only discard clear misses.
     """
     if "item" not in sketches.columns:
         sketches = sketches.select("fp", F.col("fp").alias("item"), (F.length("sketch") / 4).cast("long").alias("n"), "sketch")
@@ -244,7 +245,40 @@ def similar_links(
         .select(F.greatest("item", "leader").alias("a"), F.least("item", "leader").alias("b"))
     )
     links = _reaching(close.unionByName(stars).distinct(), held, similarity, whole)
-    return links if known is None else links.unionByName(known)
+    roots = cut_lineage(connected_components(links if known is None else links.unionByName(known)))
+    placed = large.join(roots, large.fp == roots.node, "left").select("key", "item", F.coalesce("root", "fp").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    left = cut_lineage(placed.join(mixed, "key", "left_semi").groupBy("item").agg(F.min("root").alias("root")))
+    found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    if left.isEmpty():
+        return found
+    sets = whole(left.select("item")) if whole else _sketch_sets(held.join(left, "item", "left_semi"))
+    return found.unionByName(_reaching(_crossing(cut_lineage(sets.join(left, "item")), similarity), held, similarity, whole))
+
+
+def _crossing(sets: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) of different roots among sets (item, root, set): all that reach the similarity are there.
+
+    Prefix filter: of two such sets each holds, among its n - ceil(similarity n) + 1
+    first hashes by any common order, one of the other's. Hashes that only one root has
+    come first and make no pair, then rarer ones, so a frequent passage gives blocks
+    only to texts that consist of it. A pair stays if enough of both follows the hash.
+    """
+    tokens = sets.select("item", "root", F.explode("set").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    held = tokens.join(often, "token").groupBy("item").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("tokens"))
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9)) + 1 - (F.col("n") - F.size("tokens"))
+    keyed = (
+        held.join(sets.select("item", "root", F.size("set").alias("n")), "item")
+        .withColumn("first", first.cast("int"))
+        .where("first > 0")
+        .select("item", "root", "n", F.size("tokens").alias("m"), F.posexplode(F.slice("tokens", F.lit(1), F.col("first"))).alias("at", "t"))
+        .select(F.col("t.token").alias("token"), "item", "root", "n", (F.col("m") - F.col("at")).alias("rest"))
+    )
+    keyed = cut_lineage(keyed)
+    side = lambda x: keyed.select("token", F.col("item").alias(x), *[F.col(c).alias(c + x) for c in ("root", "n", "rest")])
+    enough = F.least("resta", "restb") >= (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
+    return side("a").join(side("b"), "token").where((F.col("roota") < F.col("rootb")) & enough).select("a", "b").distinct()
 
 
 def _reaching(pairs: DataFrame, held: DataFrame, similarity: float, whole: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
@@ -272,6 +306,13 @@ def _reaching(pairs: DataFrame, held: DataFrame, similarity: float, whole: Calla
     return judged.where(full).select(*edges).unionByName(exact.select(*edges))
 
 
+def _sketch_sets(held: DataFrame) -> DataFrame:
+    def make():
+        return lambda sketches: [pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in sketches.to_pylist()], pa.list_(pa.int64()))]
+
+    return arrow_columns(held, ["sketch"], struct(("set", T.ArrayType(T.LongType()))), make, ["item"])
+
+
 #: Rows whose keys are sent to all tasks rather than exchanged with the texts.
 SENT_ROWS = 200_000
 

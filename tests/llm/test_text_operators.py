@@ -206,6 +206,19 @@ def test_similarity_of_long_texts_is_exact(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == want
 
 
+def test_near_copies_within_a_frequent_passage(spark):
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage, texts = [word() for _ in range(260)], []
+    for _ in range(60):
+        own = [word() for _ in range(60)]
+        texts += [" ".join(passage + own), " ".join([*passage, *own[:40], *[word() for _ in range(20)]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = _left_alone(texts)
+    assert len(want) == 60
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == want
+
+
 def test_chat_round_trip(spark):
     talk = [
         (1, 0, "system", "<|im_start|>x\\<\\|"), (1, 1, "user", None), (1, 2, "assistant", "é<|im_end|>\n🙂"),
