@@ -191,7 +191,8 @@ def estimate(measurements: DataFrame, settings: Settings, inertial: bool = False
     measurements: run, segment (long, from 0), u, kind (0 inertial, 1 point), then for
     points bx..bz (body), nx..nz, d, w_pt and for inertial rows ax..az, gx..gz. At most
     `cap` rows of a segment make one update; more make several. A run is read in order
-    of segment, u, kind, id; only its filter and one batch of rows are in memory.
+    of segment, u, kind, id; only its filter and one batch of rows are in memory. A
+    segment goes on across batches, so results don't depend on where they end.
     """
     cols = ["run", "segment", "u", "kind", "id", "bx", "by", "bz", "nx", "ny", "nz", "d", "w_pt", "ax", "ay", "az", "gx", "gy", "gz"]
     # A stated number, as few small rows still mean much work.
@@ -199,37 +200,40 @@ def estimate(measurements: DataFrame, settings: Settings, inertial: bool = False
     ordered = measurements.select(*cols).repartition(tasks, "run").sortWithinPartitions("run", "segment", "u", "kind", "id")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, state, rest = None, None, None
+        now, state, rest, n, used = None, None, None, 0, 0  # of the open segment; rest: under `cap` rows
         for part in parts:
-            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
-            groups = [g for _, g in part.groupby(["run", "segment"], sort=False, dropna=False)]
-            rest = groups.pop() if groups else None  # may go on in the next part
-            if rest is not None and len(rest) > 20 * cap:
-                groups, rest = [*groups, rest], None
             out = []
-            for g in groups:
-                name, state, row = step(name, state, g)
-                out.append(row)
+            for _, g in part.groupby(["run", "segment"], sort=False, dropna=False):
+                key = g["run"].iloc[0], int(g["segment"].iloc[0])
+                if key != now:
+                    if now is not None:
+                        out.append(close(now, state, rest, n, used))
+                    if now is None or key[0] != now[0]:
+                        state = Filter(settings, inertial)
+                    state.propagate(key[1])
+                    now, rest, n, used = key, g.iloc[:0], 0, 0
+                n += len(g)
+                rest = pd.concat([rest, g], ignore_index=True) if len(rest) else g
+                full = len(rest) - len(rest) % cap
+                used += sum(feed(state, rest.iloc[i : i + cap]) for i in range(0, full, cap))
+                rest = rest.iloc[full:]
             if out:
                 yield pd.DataFrame(out, columns=POSES.fieldNames())
-        if rest is not None and len(rest):
-            yield pd.DataFrame([step(name, state, rest)[2]], columns=POSES.fieldNames())
-
-    def step(name, state, g: pd.DataFrame):
-        run_name, segment = g["run"].iloc[0], int(g["segment"].iloc[0])
-        if state is None or run_name != name:
-            state = Filter(settings, inertial)
-        state.propagate(segment)
-        used = 0
-        for i in range(0, len(g), cap):
-            b = g.iloc[i : i + cap]
-            p, m = b[b["kind"] == 1], b[b["kind"] == 0]
-            if len(p):
-                used += state.update(
-                    p["u"].to_numpy(), p[["bx", "by", "bz"]].to_numpy(float), p[["nx", "ny", "nz"]].to_numpy(float), p["d"].to_numpy(float), p["w_pt"].to_numpy(float),
-                    m["u"].to_numpy() if inertial else None, m[["ax", "ay", "az", "gx", "gy", "gz"]].to_numpy(float) if inertial else None,
-                )
+        if now is not None:
+            yield pd.DataFrame([close(now, state, rest, n, used)], columns=POSES.fieldNames())
+
+    def feed(state, b: pd.DataFrame) -> int:
+        p, m = b[b["kind"] == 1], b[b["kind"] == 0]
+        if not len(p):
+            return 0
+        return state.update(
+            p["u"].to_numpy(), p[["bx", "by", "bz"]].to_numpy(float), p[["nx", "ny", "nz"]].to_numpy(float), p["d"].to_numpy(float), p["w_pt"].to_numpy(float),
+            m["u"].to_numpy() if inertial else None, m[["ax", "ay", "az", "gx", "gy", "gz"]].to_numpy(float) if inertial else None,
+        )
+
+    def close(now, state, rest: pd.DataFrame, n: int, used: int) -> tuple:
+        used += feed(state, rest)
         pos, q, _, _ = state.window.at(state.window.x[None], np.array([1.0]), settings.dt)
-        return run_name, state, (run_name, segment, len(g), used, *pos[0, 0], *q[0, 0])
+        return *now, n, used, *pos[0, 0], *q[0, 0]
 
     return ordered.mapInPandas(run, POSES)

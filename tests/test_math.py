@@ -118,6 +118,26 @@ def test_filter_follows_a_known_motion(spark):
         assert np.allclose([r.px, r.py, r.pz], [6.0, -2.0, 1.5], atol=0.05) and r.qw > 0.999
 
 
+def test_poses_do_not_depend_on_batches(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(700):  # one long segment, then short ones
+        seg, u = (0, i / 600) if i < 600 else (1 + (i - 600) // 20, (i - 600) % 20 / 20)
+        normal = np.eye(3)[i % 3]
+        rows.append(("a", seg, u, 1, i, *rng.normal(size=3).tolist(), *normal.tolist(), float(rng.normal() * 0.1), 1e-2, *[0.0] * 6))
+    ddl = "run string, segment bigint, u double, kind int, id bigint, " + ", ".join(f"{c} double" for c in "bx by bz nx ny nz d w_pt ax ay az gx gy gz".split())
+    df, name, found = spark.createDataFrame(rows, ddl), "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    try:
+        for size in ("10000", "150", "7"):
+            spark.conf.set(name, size)
+            found.append(sorted(estimator.estimate(df, estimator.Settings(), cap=6).collect()))
+    finally:
+        spark.conf.set(name, before)
+    assert [(r.segment, r.n) for r in found[0]] == [(0, 600), *[(s, 20) for s in range(1, 6)]]
+    assert found[1] == found[0] and found[2] == found[0]
+
+
 def test_gain_and_information_forms_agree():
     rng = np.random.default_rng(4)
     h, p, r, z = rng.normal(size=(40, 6)), np.eye(6) * 0.3, np.full(40, 0.2), rng.normal(size=40)
