@@ -13,6 +13,12 @@ from pyspark.sql import types as T
 from driftline.llm.common import arrow_columns, struct, utf8
 from driftline.llm.decontam import WORD, words_of
 
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+_GNU = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_CC = (("", ""), ("-NC", "-NonCommercial"), ("-SA", "-ShareAlike"), ("-ND", "-NoDerivatives"), ("-NC-SA", "-NonCommercial-ShareAlike"), ("-NC-ND", "-NonCommercial-NoDerivatives"))
+
 #: Common license notices, by SPDX-like id.
 NOTICES = (
     ("MIT", "Released under the MIT License."),
@@ -26,7 +32,33 @@ NOTICES = (
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("all-rights-reserved", "All rights reserved."),
+    ("MIT", _MIT),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "Released under the ISC License."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("BSD", _BSD + _BSD_END),
+    ("BSD", _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_END),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", _GNU.format("program", "", "2")),
+    ("LGPL-2.0", _GNU.format("library", "Library ", "2")),
+    *[(f"LGPL-{v}", x) for v in ("2.1", "3.0") for n in [v.removesuffix(".0")] for x in (f"This work is licensed under the GNU Lesser General Public License, version {n}.", _GNU.format("library", "Lesser ", n))],
+    *[("AGPL-3.0", x) for x in ("This work is licensed under the GNU Affero General Public License, version 3.", _GNU.format("program", "Affero ", "3"))],
+    *[
+        (f"CC-BY{short}-{v}", x)
+        for v in ("4.0", "3.0", "2.5", "2.0")
+        for short, long in _CC
+        for x in (f"Licensed under CC BY{short} {v}.", f"This work is licensed under a Creative Commons Attribution{long} {v} {'International' if v == '4.0' else 'Unported'} License.")
+        if (f"CC-BY{short}-{v}", x[:12]) not in (("CC-BY-NC-4.0", "Licensed und"), ("CC-BY-4.0", "This work is"))
+    ],
 )
+#: Words, besides digits, that tell licenses with nearly the same notice apart.
+TELLING = frozenset(b"nc sa nd noncommercial sharealike noderivatives noderivs lesser affero".split())
+#: Notices of fewer words must hold all their telling words.
+SHORT_NOTICE = 20
+
+
+def telling(words: list[bytes]) -> set[bytes]:
+    return {w for w in words if w in TELLING or (len(w) == 1 and w.isdigit())}
 
 
 @dataclass
@@ -108,6 +140,13 @@ class TemplateIndex:
         _, n, a, b = max(row.values())
         return n, a, b
 
+    def same_license(self, span: list[bytes], t: int) -> bool:
+        """No telling word in the span that the template lacks, nor the other way in a short one; longer ones without any may hold stray digits."""
+        own, there = telling(self.words[t]), telling(span)
+        if len(self.words[t]) >= SHORT_NOTICE:
+            return not own or there <= own
+        return own == there
+
     def scan(self, words: list[bytes], min_coverage: float) -> list[tuple[str, int, int, float]]:
         """(license, first word, last word + 1, coverage), by position.
 
@@ -117,10 +156,11 @@ class TemplateIndex:
         found = []
         for t, start in self.candidates(words):
             n, a, b = self.align(words, t, start)
-            if n >= min_coverage * len(self.words[t]):
-                found.append((-n, a, b, self.names[t], n / len(self.words[t])))
+            if n >= min_coverage * len(self.words[t]) and self.same_license(words[a:b], t):
+                found.append((-n, -n / len(self.words[t]), a, b, self.names[t]))
         out: list[tuple[str, int, int, float]] = []
-        for _, a, b, name, share in sorted(found):
+        for _, less, a, b, name in sorted(found):
+            share = -less
             if all(b <= x or y <= a for _, x, y, _ in out):
                 out.append((name, a, b, share))
         return sorted(out, key=lambda x: (x[1], x[0]))

@@ -271,6 +271,25 @@ def test_license_scan(spark):
     assert got[6].spans == "all-rights-reserved:0:19:100,all-rights-reserved:21:40:100"
 
 
+def test_license_scan_tells_variants_apart(spark):
+    gnu = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    texts = {
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "This work is licensed under the GNU General Public License, version 7.": "",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0",
+        "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0",
+        gnu.format("program", "", 2): "GPL-2.0",
+        gnu.format("program", "", 3): "GPL-3.0",
+        gnu.format("library", "Lesser ", "2.1"): "LGPL-2.1",
+        gnu.format("program", "Affero ", 3): "AGPL-3.0",
+    }
+    found = licenses.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert [r.licenses for r in sorted(found)] == list(texts.values())
+
+
 def test_license_scan_finds_every_planted_notice(docs, rows):
     got = defaultdict(list)
     for r in licenses.find_licenses(docs).collect():
