@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,8 @@ from driftline.llm.common import arrow_columns, strings, struct
 START, END = "<|im_start|>", "<|im_end|>"
 #: "<", any backslashes, "|": a text gets one backslash more, so "<|" never stands in it.
 ESCAPE, UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
+#: White space on which the tokenizer library would recurse too deep.
+LONG_SPACE = re.compile(r"\s{1000}")
 
 
 def escape(text: str) -> str:
@@ -50,10 +53,15 @@ class ChatTokenizer:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self.encoding = tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.pieces = regex.compile(pattern)
         self.start = max(ranks.values()) + 1
         self.end = self.start + 1
 
     def encode(self, text: str) -> list[int]:
+        """Ids of any text. Texts with long runs of white space are cut into pieces by the same pattern here, and the pieces merged by the library."""
+        if LONG_SPACE.search(text):
+            one = self.encoding._encode_single_piece
+            return [i for m in self.pieces.finditer(text) for i in one(m[0])]
         return self.encoding.encode_ordinary(text)
 
     def decode(self, ids: list[int]) -> str:
@@ -103,7 +111,8 @@ def format_turns(
     The ids and the mask of a conversation are those of its rows in order of turn, put
     one behind the other; so even a conversation that fills a table needs no one task
     to hold it. Null roles and texts count as empty. The mask covers the text of
-    learnt roles and no marks.
+    learnt roles and no marks. Long texts are encoded whole, runs of white space or of
+    one letter included; other columns stay, but input_ids and loss_mask are replaced.
     """
     path, pattern = _settings(path, pattern)
 
