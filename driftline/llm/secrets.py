@@ -22,8 +22,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 GITHUB = re.compile(r"gh[pousr]_[0-9A-Za-z]{36}(?![0-9A-Za-z])")
 NPM = re.compile(r"npm_[0-9A-Za-z]{36}(?![0-9A-Za-z])")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----[A-Za-z0-9+/=\s\\]*-----END \1-----")
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]*)-----END \1-----")
+XPRV = re.compile(r"xprv[1-9A-HJ-NP-Za-km-z]{107}(?![0-9A-Za-z])")
+AGE = re.compile(r"AGE-SECRET-KEY-1[02-9AC-HJ-NP-Z]{58}(?![0-9A-Za-z])")
+NSEC = re.compile(r"nsec1[02-9ac-hj-np-z]{58}(?![0-9A-Za-z])")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+BECH32 = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
 KINDS = ("assign", "access", "hex")
 KEYWORDS = {
     **dict.fromkeys(("password", "passwd", "secret", "token", "apikey", "api_key"), "assign"),
@@ -32,9 +38,12 @@ KEYWORDS = {
     "npm_": "npm",
     "eyj": "jwt",
     "-----begin ": "pem",
+    "xprv": "xprv",
+    "age-secret-key-1": "age",
+    "nsec1": "nsec",
 }
-ANCHORED = {"assign": ASSIGN, "access": ACCESS, "github": GITHUB, "npm": NPM, "jwt": JWT, "pem": PEM}
-ORDER = {k: i for i, k in enumerate((*KINDS, "github", "jwt", "npm", "pem"))}
+ANCHORED = {"assign": ASSIGN, "access": ACCESS, "github": GITHUB, "npm": NPM, "jwt": JWT, "pem": PEM, "xprv": XPRV, "age": AGE, "nsec": NSEC}
+ORDER = {k: i for i, k in enumerate((*KINDS, "github", "jwt", "npm", "pem", "xprv", "age", "nsec"))}
 #: Hex digits become "1", all else "0".
 HEX_TABLE = bytes(49 if chr(b) in "0123456789abcdef" else 48 for b in range(256))
 HEX_RUN = re.compile(r"[0-9a-f]{32,}")
@@ -49,6 +58,62 @@ def base62_crc(body: str) -> str:
     return out
 
 
+def base58_sound(key: str) -> bool:
+    """Whether the last four bytes are the double SHA-256 of those before."""
+    n = 0
+    for c in key:
+        n = n * 58 + BASE58.index(c)
+    raw = n.to_bytes(82, "big") if n < 1 << 656 else b""
+    return hashlib.sha256(hashlib.sha256(raw[:-4]).digest()).digest()[:4] == raw[-4:]
+
+
+def bech32_sound(key: str) -> bool:
+    """Whether the checksum of a Bech32 text (prefix, 1, data) is right."""
+    prefix, _, data = key.lower().rpartition("1")
+    codes = [ord(c) >> 5 for c in prefix] + [0] + [ord(c) & 31 for c in prefix] + [BECH32.index(c) for c in data]
+    rest = 1
+    for v in codes:
+        top, rest = rest >> 25, (rest & 0x1FFFFFF) << 5 ^ v
+        for i, g in enumerate((0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)):
+            rest ^= g if top >> i & 1 else 0
+    return rest == 1
+
+
+def _json_of(part: str) -> object:
+    try:
+        return json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
+    except (ValueError, TypeError, RecursionError):
+        return None
+
+
+#: Bytes of a signature, least and most, by the first two letters of the algorithm and its size.
+SIGNATURES = {"HS256": (32, 32), "HS384": (48, 48), "HS512": (64, 64), "ES256": (64, 64), "ES384": (96, 96), "ES512": (132, 132)}
+
+
+def jwt_sound(token: str) -> bool:
+    """Header and claims are JSON objects, the header names an algorithm, and the signature has its length."""
+    head, claims, signature = token.split(".")
+    named, said = _json_of(head), _json_of(claims)
+    if not (isinstance(named, dict) and isinstance(said, dict) and isinstance(named.get("alg"), str)):
+        return False
+    least, most = SIGNATURES.get(named["alg"], (16, 1 << 16))
+    return len(signature) % 4 != 1 and least <= len(signature) * 3 // 4 <= most
+
+
+def der_sound(body: str) -> bool:
+    """The armoured bytes are one DER sequence whose length says where it ends, or OpenSSH's own format."""
+    try:
+        raw = base64.b64decode("".join(body.replace("\\n", "").replace("\\r", "").split()), validate=True)
+    except ValueError:
+        return False
+    if raw.startswith(b"openssh-key-v1\0"):
+        return True
+    if len(raw) < 4 or raw[0] != 0x30:
+        return False
+    wide = raw[1] & 127 if raw[1] & 128 else 0
+    return len(raw) == 2 + wide + (int.from_bytes(raw[2 : 2 + wide], "big") if wide else raw[1])
+
+
 def _passes(kind: str, m: re.Match) -> bool:
     if kind == "assign":
         return len(m[2]) >= 8
@@ -57,12 +122,10 @@ def _passes(kind: str, m: re.Match) -> bool:
     if kind in ("github", "npm"):
         return base62_crc(m[0][4:-6]) == m[0][-6:]
     if kind == "jwt":
-        head = m[0].split(".")[0]
-        try:
-            return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-        except (ValueError, TypeError):
-            return False
-    return True
+        return jwt_sound(m[0])
+    if kind == "pem":
+        return der_sound(m[2])
+    return base58_sound(m[0]) if kind == "xprv" else bech32_sound(m[0])
 
 
 class Scanner:
@@ -85,10 +148,14 @@ class Scanner:
         for kind, at in starts.items():
             past, match = 0, ANCHORED[kind].match
             for i in sorted(at):  # leftmost first, none overlapping
-                if i >= past and (m := match(text, i)):
+                if i < past:
+                    continue
+                if m := match(text, i):
                     past = m.end()
                     if _passes(kind, m):
                         out.append((i, ORDER[kind], past, kind))
+                elif kind == "jwt":  # any later start in this run of letters would fail at its end, too
+                    past = JWT_RUN.match(text, i).end()
         if b"1" * 32 in text.encode().translate(HEX_TABLE):
             out += [(m.start(), ORDER["hex"], m.end(), "hex") for m in HEX_RUN.finditer(text)]
         return [(kind, s, e) for s, _, e, kind in sorted(out)]
@@ -113,9 +180,11 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     spans has every finding as kind:start:end, comma-joined, ordered by start and then
     kind; base_sha256 covers those of the kinds assign, access and hex. The further
-    kinds (github, npm: CRC-32 in the token; jwt: a header that decodes to JSON with an
-    algorithm; pem: matching key armour) come only with their check passed. Null and
-    empty texts have none. Repeated rows give repeated results.
+    kinds come only with their check passed: github, npm: CRC-32 in the token; xprv:
+    double SHA-256; age, nsec: Bech32 checksum; jwt: JSON header and claims, length of
+    the signature; pem: matching armour around DER of the length it states. Null and
+    empty texts have none. Repeated rows give repeated results. Work is linear in a
+    text, whatever repeats in it.
     """
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
