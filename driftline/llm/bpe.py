@@ -9,6 +9,7 @@ look-ups, and only the words that fail are merged step by step.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from functools import lru_cache
@@ -19,32 +20,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from driftline.llm.common import arrow_columns, strings, struct
 
 #: Words whose ids a task remembers; beyond, it starts anew.
 CACHE = 150_000
 NEVER = 1 << 60
-#: Code points (first, last) that the regex module's Unicode tables class as
-#: letters or numbers and the tokenizer's older tables do not.
-LATER = (
-    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F),
-    (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D),
-    (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB),
-    (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8),
-    (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2),
-    (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24),
-    (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5),
-    (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
-    (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
-)
-LATER_PATTERN = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in LATER) + "]")
-#: Lower case that the tokenizer knows and Python's Unicode tables do not.
-LATER_LOWER = {
-    0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B,
-    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
-}
-UPPER_LATER = regex.compile("[" + "".join(map(chr, LATER_LOWER)) + "]")
+#: Symbols of a word beyond which it is merged by a heap of its own.
+LONG_WORD = 200
 
 
 def default_path() -> str:
@@ -86,6 +70,9 @@ class WordBpe:
         names = {i: t for t, i in (v | self.added).items()}
         self.names: list[str | None] = [names.get(i) for i in range(max(names) + 1)]
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        # Unicode tables beyond Latin-1 differ between libraries: there the file's own normalizer and pattern decide.
+        self.normalize = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+        self.cut = pre_tokenizers.Split(Regex(self.pieces.pattern), "removed", invert=True).pre_tokenize_str
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))))
         self.table = str.maketrans({chr(b): s for b, s in enumerate(byte_symbols())})
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -93,9 +80,11 @@ class WordBpe:
         left = np.array([v[a] for a, _ in merges], np.int64)
         right = np.array([v[b] for _, b in merges], np.int64)
         self.made = np.array([v[a + b] for a, b in merges], np.int64)
+        self.made_list: list[int] = self.made.tolist()
         key = left * base + right
         order = np.argsort(key, kind="stable")
         self.pair_key, self.pair_rank = key[order], order
+        self.rank_at = dict(zip(key[::-1].tolist(), range(len(key) - 1, -1, -1), strict=True))  # of equals the first counts
         # The merge that made a token, -1 for single symbols, and its two parts.
         back = slice(None, None, -1)  # of equals the first counts
         self.birth = np.full(base, -1, np.int64)
@@ -114,6 +103,7 @@ class WordBpe:
         # Tokens inside words, and -1 for what only begins one.
         self.starts = {b[:j]: -1 for b, end, _ in sound if not end for j in range(1, len(b))}
         self.starts |= {b: i for b, end, i in sound if not end}
+        self.longest = max(map(len, chain(self.ending, self.starts)), default=1)
         self.words: dict[str, bytes] = {}
 
     def _symbols(self, word: str, end: bool = True) -> list[int]:
@@ -131,8 +121,15 @@ class WordBpe:
         """Exact merging of many words side by side: ids one after another, and their counts.
 
         Each round makes in every unfinished word the merge of lowest rank, of equals
-        the leftmost, and looks up only the pairs beside it.
+        the leftmost, and looks up only the pairs beside it. Long words, which would
+        keep the rounds going, are merged one by one.
         """
+        if long := {i: self._merged_long(w) for i, w in enumerate(words) if len(w) > LONG_WORD}:
+            sym, size = self._merged_all([[] if i in long else w for i, w in enumerate(words)])
+            for i, w in long.items():
+                size[i] = len(w)
+            parts = iter(np.split(sym, np.cumsum([n for i, n in enumerate(size.tolist()) if i not in long])[:-1]))
+            return np.concatenate([long[i] if i in long else next(parts) for i in range(len(words))]), size
         size = np.fromiter(map(len, words), np.int64, len(words))
         sym = np.fromiter(chain.from_iterable(words), np.int64, int(size.sum()))
         word = np.repeat(np.arange(len(words)), size)
@@ -166,16 +163,43 @@ class WordBpe:
         order = np.argsort(word, kind="stable")
         return sym[order], np.bincount(word, minlength=len(words))
 
+    def _merged_long(self, word: list[int]) -> np.ndarray:
+        """Exact merging of one word of n symbols by a linked list and a heap of pairs: n log n steps."""
+        n, sym = len(word), list(word)
+        array = np.array(word, np.int64)
+        ranks = self._ranks(array[:-1], array[1:])
+        heap = [(r, i, sym[i], sym[i + 1]) for i, r in enumerate(ranks.tolist()) if r != NEVER]
+        heapq.heapify(heap)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        made, base, rank_at = self.made_list, self.base, self.rank_at.get
+
+        def offer(i: int, j: int) -> None:
+            if (r := rank_at(sym[i] * base + sym[j])) is not None:
+                heapq.heappush(heap, (r, i, sym[i], sym[j]))
+
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = right[i]
+            if sym[i] != a or j >= n or sym[j] != b:  # one side has been merged meanwhile
+                continue
+            sym[i], sym[j], right[i] = made[r], -1, right[j]
+            if right[j] < n:
+                left[right[j]] = i
+                offer(i, right[j])
+            if left[i] >= 0:
+                offer(left[i], i)
+        return np.array([x for x in sym if x >= 0], np.int64)
+
     def _propose(self, word: str) -> list[int]:
         """Greedy longest match; the last token carries the suffix."""
-        out, i, n = [], 0, len(word)
+        out, i, n, most = [], 0, len(word), self.longest
         ending, starts = self.ending, self.starts
         while True:
-            rest = word[i:]
-            if rest in ending:
+            rest = word[i : i + most + 1]
+            if rest in ending and n - i <= most:
                 out.append(ending[rest])
                 return out
-            for j in range(1, n - i):
+            for j in range(1, min(n - i, most + 1)):
                 if (k := starts.get(rest[:j])) is None:
                     break
                 if k >= 0:
@@ -227,12 +251,9 @@ class WordBpe:
     def _pieces(self, text: str) -> list[str]:
         if text.isascii():
             return self.pieces.findall(text.lower())
-        low = unicodedata.normalize("NFC", text)
-        low = low.replace("Σ", "σ").lower()  # no final form, as letters are lowered one by one
-        if not _is_latin(low) and (LATER_PATTERN.search(low) or UPPER_LATER.search(low)):
-            low = low.translate(LATER_LOWER)
-            return [low[m.start() : m.end()] for m in self.pieces.finditer(LATER_PATTERN.sub("\ue000", low))]
-        return self.pieces.findall(low)
+        if _is_latin(text):
+            return self.pieces.findall(unicodedata.normalize("NFC", text).lower())
+        return [p for p, _ in self.cut(self.normalize(text))]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -272,7 +293,11 @@ def load(path: str) -> WordBpe:
 def encode(
     docs: DataFrame, text: str = "text", path: str | None = None, carry: list[str] | None = None, step: int = 256
 ) -> DataFrame:
-    """docs with `ids` (array of int) and `n_tokens`. Null and empty texts give no ids."""
+    """docs with `ids` (array of int) and `n_tokens`. Null and empty texts give no ids.
+
+    Long texts are encoded whole; a word of n letters takes n log n steps at most.
+    Repeated rows give repeated results; columns named ids or n_tokens are replaced.
+    """
     path = path or default_path()
 
     def make():
