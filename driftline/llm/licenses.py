@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from driftline.llm.common import arrow_columns, struct, utf8
 from driftline.llm.decontam import WORD, words_of
+from driftline.llm.quality_rules import CONTINUATION
 
 _MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
@@ -121,6 +123,8 @@ class TemplateIndex:
         match gains 2, a gap or mismatch costs 1.
         """
         tpl, band, floor = self.words[t], self.reach(t), -(1 << 30)
+        if start >= 0 and words[start : start + len(tpl)] == tpl:
+            return len(tpl), start, start + len(tpl)
         # Cell of row i and offset d: template word i against text word start + i + d.
         row = {d: (0, 0, -1, -1) for d in range(-band, band + 1)}  # score, matched, first, last
         for i, w in enumerate(tpl):
@@ -158,12 +162,22 @@ class TemplateIndex:
             n, a, b = self.align(words, t, start)
             if n >= min_coverage * len(self.words[t]) and self.same_license(words[a:b], t):
                 found.append((-n, -n / len(self.words[t]), a, b, self.names[t]))
-        out: list[tuple[str, int, int, float]] = []
+        out: list[tuple[int, int, str, float]] = []  # disjoint, by position
         for _, less, a, b, name in sorted(found):
-            share = -less
-            if all(b <= x or y <= a for _, x, y, _ in out):
-                out.append((name, a, b, share))
-        return sorted(out, key=lambda x: (x[1], x[0]))
+            i = bisect_left(out, (a, b))
+            if (i == 0 or out[i - 1][1] <= a) and (i == len(out) or b <= out[i][0]):
+                out.insert(i, (a, b, name, -less))
+        return [(name, a, b, share) for a, b, name, share in out]
+
+
+def code_points(text: bytes, places: list[int]) -> list[int]:
+    """The numbers of characters before ascending byte places, in one pass."""
+    out, at, n = [], 0, 0
+    for p in places:
+        n += len(text[at:p].translate(None, CONTINUATION))
+        at = p
+        out.append(n)
+    return out
 
 
 def find_licenses(
@@ -173,7 +187,11 @@ def find_licenses(
 
     licenses: the distinct ids, sorted and comma-joined; spans: license:start:end:percent
     of template words matched, by start, in code points of the text, end exclusive.
-    Null and empty texts have none; templates under three words are ignored.
+    Null and empty texts have none; templates under three words are ignored. Of
+    overlapping findings that match equally many words the one with the higher share
+    stays, then the earlier one, then the first by name. Texts are scanned whole;
+    alignments cost a template's length times its band each, one per cluster of seeds.
+    Repeated rows give repeated results.
     """
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
@@ -185,10 +203,10 @@ def find_licenses(
             for t in utf8(texts):
                 found = index.scan(words_of(t), min_coverage)
                 at = [m.span() for m in WORD.finditer(t)] if found else []
-                where = lambda i: len(t[:i].decode("utf-8", "ignore"))  # noqa: B023, E731
+                where = code_points(t, [x for _, a, b, _ in found for x in (at[a][0], at[b - 1][1])])
                 n.append(len(found))
                 names.append(",".join(sorted({f[0] for f in found})))
-                spans.append(",".join([f"{f}:{where(at[a][0])}:{where(at[b - 1][1])}:{int(100 * c)}" for f, a, b, c in found]))
+                spans.append(",".join([f"{f}:{s}:{e}:{int(100 * c)}" for (f, _, _, c), s, e in zip(found, where[::2], where[1::2], strict=True)]))
             return [pa.array(n, pa.int64()), pa.array(names, pa.string()), pa.array(spans, pa.string())]
 
         return work
