@@ -15,8 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bounds on blocks and cells: the driver draws at most their product of counts.
+from driftline.llm.common import cut_lineage
+
+#: Bounds on blocks and cells: the driver draws at most their product of counts. Blocks are a power of two.
 MAX_BLOCKS, MAX_CELLS = 2048, 2048
+#: Borders compared at each step of the search for a row's cell.
+FAN = 8
 
 
 def _one_draw(rng: np.random.Generator, good: int, total: int, n: int) -> int:
@@ -77,33 +81,41 @@ def uniform_shards(
     Columns of rows named shard or slot are replaced; others stay.
 
     Plan: one aggregation of `key` for the block sizes, then two exchanges of the rows.
-    The driver holds MAX_BLOCKS x MAX_CELLS counts at most, whatever the input.
+    The driver holds MAX_BLOCKS x MAX_CELLS counts at most, whatever the input. A row
+    finds its cell among the borders of its block in logarithmic steps.
     """
     spark = rows.sparkSession
     rows = rows.drop("shard", "slot")
     names = rows.columns
     hash_of = lambda salt: F.xxhash64(F.lit(f"{seed}-{salt}"), *key)
-    total = rows.count()
-    blocks = max(1, min(MAX_BLOCKS, -(-total // rows_per_block)))
+    fine = F.pmod(hash_of("block"), F.lit(MAX_BLOCKS)).cast("int")
+    found = {r[0]: r[1] for r in rows.groupBy(fine.alias("b")).agg(F.count("*")).collect()}  # MAX_BLOCKS rows at most
+    total = sum(found.values())
+    blocks = 1
+    while blocks < MAX_BLOCKS and blocks * rows_per_block < total:
+        blocks *= 2
+    sizes = [sum(found.get(b, 0) for b in range(k, MAX_BLOCKS, blocks)) for k in range(blocks)]
     per_shard = max(1, min(MAX_CELLS // shards, -(-total // (shards * rows_per_block))))
-    in_block = F.pmod(hash_of("block"), F.lit(blocks)).cast("int")
-    found = {r[0]: r[1] for r in rows.groupBy(in_block.alias("b")).agg(F.count("*")).collect()}
-    sizes = [found.get(b, 0) for b in range(blocks)]
-    if sum(sizes) != total:
-        raise RuntimeError("the table changed while it was being sharded")
     cells = [(s, start, n) for s, m in enumerate(_even(total, shards)) for start, n in _starts(_even(m, per_shard))]
     matrix = communication_matrix(sizes, [n for _, _, n in cells], seed)
-    ends = _small(spark, [(b, np.cumsum(row).tolist()) for b, row in enumerate(matrix)], "__b int, __ends array<bigint>")
+    levels = _levels(len(cells))
+    ends = _small(
+        spark,
+        [(b, *[at[step - 1 :: step] for step in levels]) for b, row in enumerate(matrix) for at in [np.cumsum(row).tolist()]],
+        ", ".join(["__b int", *[f"__ends{step} array<bigint>" for step in levels]]),
+    )
     cell = _small(spark, [(i, s, start) for i, (s, start, _) in enumerate(cells)], "__c int, shard int, __start bigint")
     first = Window.partitionBy("__b").orderBy("__o", *(tie or []))
     again = Window.partitionBy("__c").orderBy("__p", *(tie or []))
     dealt = (
-        rows.select("*", in_block.alias("__b"), hash_of("first").alias("__o"), hash_of("second").alias("__p"))
+        rows.select("*", (fine % blocks).alias("__b"), hash_of("first").alias("__o"), hash_of("second").alias("__p"))
         .withColumn("__r", F.row_number().over(first))
         .join(ends, "__b")
-        .withColumn("__c", F.expr("size(filter(__ends, e -> e < __r))"))
-        .drop("__ends", "__b", "__o", "__r")
+        .withColumn("__c", F.lit(0))
     )
+    for step in levels:  # borders before the row, among every step-th one
+        dealt = dealt.withColumn("__c", F.expr(f"__c * {FAN} + size(filter(slice(__ends{step}, __c * {FAN} + 1, {FAN}), e -> e < __r))"))
+    dealt = dealt.drop(*[f"__ends{step}" for step in levels], "__b", "__o", "__r")
     return (
         dealt.withColumn("__r", F.row_number().over(again))
         .join(cell, "__c")
@@ -111,6 +123,15 @@ def uniform_shards(
     )
 
 
+def _levels(n: int) -> list[int]:
+    """Strides of the search among n borders, from coarse to 1: at each, FAN borders at most are compared."""
+    step, out = 1, [1]
+    while n // step > FAN:
+        step *= FAN
+        out.insert(0, step)
+    return out
+
+
 def _starts(sizes: list[int]) -> list[tuple[int, int]]:
     at, out = 0, []
     for n in sizes:
@@ -127,15 +148,17 @@ def shard_documents(docs: DataFrame, shards: int = 24, rows_per_block: int = 102
     """Per row of documents: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size: UTF-8 bytes of the text (null: none) plus 8. Law `rows`: shard row counts are
-    at most one apart. grown_shard is null under this law. doc_id should tell rows
-    apart; rows that share it stay in one block, ordered by text_crc32 and size.
+    at most one apart. grown_shard is null under this law. Null ids and texts are
+    values like others. Rows that share a doc_id are told apart by text_crc32 and size;
+    only rows equal in all three, which are interchangeable, stay in one block. Texts
+    are read once, whole: what is placed are these three numbers, from the checkpoint.
     """
     narrow = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    placed = uniform_shards(narrow, [F.col("doc_id")], shards, rows_per_block, seed, [F.col("text_crc32"), F.col("size")])
+    placed = uniform_shards(cut_lineage(narrow), [F.col(c) for c in ("doc_id", "text_crc32", "size")], shards, rows_per_block, seed)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard")
     )
