@@ -224,20 +224,36 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(featured: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Gam:
-    """A model of labels.quality from featured (doc_id, features).
+def learnt_labels(labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """(doc_id, quality) to learn from: one row per id, max_rows at most, those of least id hash.
 
-    At most max_rows labelled rows, those whose ids have the least hash, are brought to
-    the driver as numbers. Held-out rows and null labels are left out.
+    Held-out rows, null ids and labels other than 0 and 1 are left out; of clashing
+    labels of one id the lower counts.
     """
-    chosen = (
+    return (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
-        .select("doc_id", F.col("quality").cast("double").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
+        .groupBy("doc_id")
+        .agg(F.min(F.col("quality").cast("double")).alias("quality"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    # chosen has max_rows rows at most
-    rows = featured.join(F.broadcast(chosen), "doc_id").select("features", "quality").limit(max_rows).toArrow()
+
+
+def train(featured: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Gam:
+    """A model of learnt_labels() from featured (doc_id, features).
+
+    max_rows rows at most come to the driver, as numbers, one per id (of repeated ids
+    the least features) and in a fixed order, so that a repeated task or another
+    partitioning gives the same model.
+    """
+    chosen = F.broadcast(learnt_labels(labels, max_rows))  # max_rows rows at most
+    rows = (
+        featured.join(chosen, "doc_id")
+        .groupBy("doc_id")
+        .agg(F.min("features").alias("features"), F.min("quality").alias("quality"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .toArrow()
+    )
     flat = rows["features"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return fit(flat.reshape(-1, len(FEATURES)), rows["quality"].to_numpy())
 
@@ -260,8 +276,8 @@ def score_documents(
 ) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted.
 
-    Only the text is an input of a score. Null texts count as empty; rows that share a
-    doc_id are scored each on its own. Without labels of both classes every score is
+    Only the text is an input of a score. Null texts count as empty; long ones are
+    measured whole. Rows that share a doc_id are scored each on its own. Without labels of both classes every score is
     the labels' mean with one row of either class added.
     """
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -278,11 +294,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_ro
     Texts are read twice, once to fit and once to filter, so that no text is exchanged.
     """
     cols = docs.columns
-    seen = with_features(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(
-        F.broadcast(
-            labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
-            .select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).distinct()
-        ), "doc_id", "left_semi"), carry=["doc_id"])
+    asked = F.broadcast(learnt_labels(labels, max_rows).select("doc_id"))  # max_rows rows at most
+    seen = with_features(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), carry=["doc_id"])
     model = train(cut_lineage(seen), labels, max_rows)
 
     def make():
