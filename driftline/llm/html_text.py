@@ -1,15 +1,17 @@
 """Main text of web pages by two passes of block rules.
 
 Pass one labels each block by link density, length and stop-word density. Pass two
-gives ambiguous short blocks the label of the nearest decided neighbours. Elements
-that name their role (nav, footer, adverts, comments and the like) are left out
-beforehand; inside an article element a block needs evidence against it to be bad.
+gives ambiguous blocks the label of the nearest decided neighbours. Elements that name
+their role (nav, footer, adverts, comments and the like) are left out beforehand; an
+article element is evidence for its blocks, so that what is undecided there stays
+unless its neighbours speak against it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -19,16 +21,21 @@ from pyspark.sql import types as T
 
 from driftline.llm.common import arrow_columns, strings, struct
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|math|iframe|title|object|canvas|audio|video)\b(?:\"[^\"]*\"|'[^']*'|[^\"'>])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
+#: A tag with quotes in pairs, one without regard to quotes, and declarations.
+QUOTED = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\"[^\"]*+\"|'[^']*+'|[^\"'>]++)*+)>")
+LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>")
+OTHER = re.compile(r"<[!?/][^>]*+>")
+#: Tags of a page without paired quotes after which quotes are no longer heeded.
+MOST_LOOSE = 16
+#: Elements whose content is not text, each with its end.
+RAW = {
+    t: re.compile(rf"</{t}\s*>", re.I)
+    for t in "script style noscript template textarea svg math iframe title object canvas audio video".split()
+}
+ATTRIBUTE = re.compile(r"(?<![\w:.-])([a-zA-Z_:][\w:.-]*+)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
+#: Numbers beyond all characters, which would be too long to convert.
+FAR_NUMBER = re.compile(r"&#(?:0*+[1-9][0-9]{8,}+|[xX]0*+[1-9a-fA-F][0-9a-fA-F]{8,}+);?")
+ZEROS = re.compile(r"&#([xX]?)0{8,}+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -55,7 +62,10 @@ STOP_WORDS_BY_LANGUAGE = {
     "es": "al como con de del desde el ella en entre era es esta este ha la las lo los más me mi no nos o para pero por porque que se si sin sobre son su sus un una y ya yo",
 }
 STOP_WORDS = frozenset(w for words in STOP_WORDS_BY_LANGUAGE.values() for w in words.split())
-SHORT, LONG, LINKS, FEW, MANY = 70, 200, 0.5, 0.30, 0.32
+#: Limits: characters of short and long blocks, share of linked characters, shares of stop words.
+SHORT, LONG, LINKS, FEW, MANY = 70, 200, 0.5, 0.08, 0.18
+#: A page whose longer blocks have a smaller share of known stop words is in another language.
+KNOWN = 0.07
 
 
 @dataclass
@@ -77,17 +87,106 @@ def _names_boilerplate(attributes: str, tag: str) -> bool:
     return False
 
 
+def tokens_of(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text, tag, "/" if it closes, attributes): each piece of text with the tag after it, which may be none.
+
+    Comments, declarations and the content of RAW elements are left out. Linear in the
+    page: where no ">" follows, "<" is text; a few tags whose quotes don't pair up are
+    read to the next ">", and so is any tag after those.
+    """
+    at = start = loose = 0
+    last = page.rfind(">")
+    while (i := page.find("<", at)) >= 0:
+        if page.startswith("<!--", i):
+            j = page.find("-->", i + 4)
+            yield page[start:i], "", "", ""
+            at = start = len(page) if j < 0 else j + 3
+        elif page.startswith("<![CDATA[", i):
+            j = page.find("]]>", i + 9)
+            yield page[start:i] + page[i + 9 : len(page) if j < 0 else j], "", "", ""
+            at = start = len(page) if j < 0 else j + 3
+        elif i > last:
+            at = i + 1
+        else:
+            m = QUOTED.match(page, i) if loose < MOST_LOOSE else None
+            if m is None and (m := LOOSE.match(page, i)):
+                loose += 1
+            if m:
+                tag, end = m[2].lower(), m.end()
+                if tag in RAW:
+                    if not m[1]:
+                        close = RAW[tag].search(page, end)
+                        end = close.end() if close else len(page)
+                    tag = ""
+                yield page[start:i], tag, m[1], m[3]
+                at = start = end
+            elif m := OTHER.match(page, i):
+                yield page[start:i], "", "", ""
+                at = start = m.end()
+            else:
+                at = i + 1
+    yield page[start:], "", "", ""
+
+
+def _decoded(text: str) -> str:
+    if "&" not in text:
+        return text
+    return html.unescape(ZEROS.sub(r"&#\g<1>0", FAR_NUMBER.sub("\ufffd", text)) if "&#" in text else text)
+
+
 class _Open:
-    __slots__ = ("tag", "out", "article", "soft")
+    """An open element. hard: it is left out for good, whatever opens inside."""
+
+    __slots__ = ("tag", "out", "article", "hard")
+
+    def __init__(self, tag: str, out: bool, article: int, hard: bool):
+        self.tag, self.out, self.article, self.hard = tag, out, article, hard
+
+
+class _Stack(list[_Open]):
+    """Open elements, with places by tag, so that closing one takes no search."""
+
+    def __init__(self):
+        super().__init__()
+        self.places: dict[str, list[int]] = {}
+        self.bounds: list[int] = []  # of article, main and body
+        self.hard = self.first_out = 0
+
+    def push(self, e: _Open) -> None:
+        self.places.setdefault(e.tag, []).append(len(self))
+        if e.tag in BOUNDS:
+            self.bounds.append(len(self))
+        self.hard += e.hard
+        self.append(e)
+
+    def cut(self, n: int) -> None:
+        while len(self) > n:
+            e = self.pop()
+            self.places[e.tag].pop()
+            if e.tag in BOUNDS:
+                self.bounds.pop()
+            self.hard -= e.hard
+        self.first_out = min(self.first_out, n)
+
+    def close(self, tag: str) -> None:
+        if at := self.places.get(tag):
+            if tag in BOUNDS or tag == "html" or not self.bounds or at[-1] > self.bounds[-1]:
+                self.cut(at[-1])
 
-    def __init__(self, tag: str, out: bool, article: int, soft: bool):
-        self.tag, self.out, self.article, self.soft = tag, out, article, soft
+    def let_in(self) -> None:
+        """Nothing that is open is left out any more."""
+        for e in self[self.first_out :]:
+            e.out = False
+        self.first_out = len(self)
+
+
+BOUNDS = frozenset(("article", "main", "body"))
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text, in page order, without those of elements that are left out."""
     out: list[Block] = []
-    stack: list[_Open] = []
+    stack = _Stack()
     text: list[str] = []
     linked = links = articles = 0
     heading = False
@@ -98,7 +197,7 @@ def blocks_of(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal linked, heading
         if text:
-            body = " ".join(html.unescape("".join(text)).split())
+            body = " ".join(_decoded("".join(text)).split())
             if body:
                 out.append(Block(body, linked, state()[1], heading))
             text.clear()
@@ -111,16 +210,10 @@ def blocks_of(page: str) -> list[Block]:
             if links:
                 linked += len(" ".join(piece.split()))
 
-    at = 0
-    for m in TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+    for piece, tag, closing, attributes in tokens_of(page):
+        add(piece)
         if not tag:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:].removesuffix("]]>"))
             continue
-        closing, attributes = m[2] or m[5], m[4] or m[7] or ""
         if tag == "br":
             add(" ")
         elif tag == "a":
@@ -128,28 +221,22 @@ def blocks_of(page: str) -> list[Block]:
         elif closing:
             if tag in BLOCKS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
-                    break
+            stack.close(tag)
         else:
             block = tag in BLOCKS
             if block:
                 flush()
                 if stack and stack[-1].tag in ("p", *HEADINGS):  # an open paragraph ends here
-                    stack.pop()
+                    stack.cut(len(stack) - 1)
             gone, article = state()
             if tag in VOID:
                 continue
             soft = False
             if tag in ("article", "main"):
-                nested = any(x.tag == "article" for x in stack)
-                if not nested and stack and gone and all(x.soft or x.tag in ("nav", "header", "footer", "form", "head") for x in stack if x.out):
-                    gone = False  # a menu or wrapper that was never closed
-                    for x in stack:
-                        x.out = False
+                nested = bool(stack.places.get("article"))
+                if not nested and gone and not stack.hard:  # a menu or wrapper that was never closed
+                    gone = False
+                    stack.let_in()
                 if nested and not gone:
                     gone = _names_boilerplate(attributes, tag)
                 if not article:
@@ -161,85 +248,102 @@ def blocks_of(page: str) -> list[Block]:
                 elif (block or tag in ("span", "ins", "figure")) and _names_boilerplate(attributes, tag):
                     gone = soft = True
             if block or gone:
-                stack.append(_Open(tag, gone, article, soft))
+                stack.push(_Open(tag, gone, article, gone and not soft and tag not in ("nav", "header", "footer", "form", "head")))
             heading = tag in HEADINGS or (heading and not block)
-    add(page[at:])
     flush()
     return out
 
 
-def _stop_density(text: str) -> float:
-    words = [w.strip(".,;:!?\"'()[]") for w in text.lower().split()]
+def stop_density(text: str) -> float:
+    words = [w.strip(".,;:!?\"'()[]#*$%&|") for w in text.lower().split()]
     return sum(w in STOP_WORDS for w in words) / len(words)
 
 
-def first_pass(b: Block) -> str:
-    """good, bad or short (ambiguous)."""
+def first_pass(blocks: list[Block]) -> list[str]:
+    """A label for each block: good, bad, or ambiguous: near (good rather), poor (bad rather) or short.
+
+    Link density, length and stop-word density decide. Where the page's longer blocks
+    hold next to no known stop words, the density says nothing, and length decides.
+    """
+    density = [stop_density(b.text) if len(b.text) >= SHORT else 0.0 for b in blocks]
+    told = [(d * len(b.text), len(b.text)) for b, d in zip(blocks, density, strict=True) if len(b.text) >= SHORT and b.linked <= LINKS * len(b.text)]
+    known = sum(d for d, _ in told) >= KNOWN * sum(n for _, n in told)
+    return [_label(b, d, known) for b, d in zip(blocks, density, strict=True)]
+
+
+def _label(b: Block, density: float, known: bool) -> str:
     n = len(b.text)
-    if b.linked > LINKS * n:
-        return "bad"
-    if b.article:
-        return "short" if n < SHORT else "good"
-    if "\xa9" in b.text:
+    if b.linked > LINKS * n or ("\xa9" in b.text and not b.article and n < LONG):
         return "bad"
     if n < SHORT:
-        return "bad" if b.linked else "short"
-    density = _stop_density(b.text)
-    if density >= MANY:
+        return "bad" if b.linked and not b.article else "short"
+    if not known:
         return "good" if n > LONG else "near"
-    return "near" if density >= FEW else "bad"
+    if density >= MANY:
+        return "good" if n > LONG or b.article else "near"
+    return "near" if density >= FEW else "poor"
 
 
 def second_pass(blocks: list[Block], first: list[str]) -> list[bool]:
     """Whether to keep each block: ambiguous ones inherit from the nearest decided ones.
 
-    In an article only its own blocks count as neighbours, and without any a block is
-    kept. Elsewhere, the edges of the page count as bad. If both sides are equally
-    near and differ, an article keeps, a page doesn't; near-good blocks need one good side.
+    Neighbours are those of the same article, or outside of all; outside, what follows
+    an edge or an article's border counts as bad. Near blocks need one good side, or a
+    page without any good block; poor ones need two good sides, in an article one. Short
+    ones take the side that is nearer; if both are equally near and differ, an article
+    keeps, a page doesn't. A heading goes with what follows it. In an article without
+    decided blocks all stay.
     """
     n = len(blocks)
+
+    def nearest(order: range) -> list[tuple[int, bool] | None]:
+        """Distance and label of the nearest decided block on one side; None for an article's edge."""
+        found: list[tuple[int, bool] | None] = [None] * n
+        last, article, edge = None, None, order[0] - order.step if n else 0
+        for i in order:
+            if blocks[i].article != article:
+                last, article, edge = None, blocks[i].article, i - order.step
+            if last is not None:
+                found[i] = abs(i - last), first[last] == "good"
+            elif not article:
+                found[i] = abs(i - edge), False
+            if first[i] in ("good", "bad"):
+                last = i
+        return found
+
+    before, after = nearest(range(n)), nearest(range(n - 1, -1, -1))
+    no_good = "good" not in first
     out = []
     for i, label in enumerate(first):
+        sides = [x for x in (before[i], after[i]) if x is not None]
+        votes = {g for d, g in sides if d == min(d for d, _ in sides)}
         if label in ("good", "bad"):
             out.append(label == "good")
-            continue
-        sides = []
-        for step in (-1, 1):
-            j = i + step
-            while 0 <= j < n and blocks[j].article == blocks[i].article and first[j] not in ("good", "bad"):
-                j += step
-            if 0 <= j < n and blocks[j].article == blocks[i].article:
-                sides.append((abs(j - i), first[j] == "good"))
-            elif not blocks[i].article:
-                sides.append((abs(j - i), False))
-        if not sides:
+        elif not sides:
             out.append(True)
         elif label == "near":
-            out.append(any(g for _, g in sides) or all(f != "good" for f in first))
+            out.append(no_good or any(g for _, g in sides))
+        elif label == "poor":
+            out.append(any(g for _, g in sides) if blocks[i].article else all(g for _, g in sides))
         else:
-            least = min(d for d, _ in sides)
-            votes = {g for d, g in sides if d == least}
-            ahead = blocks[i].heading and len(sides) == 2 and sides[1][1]  # a heading belongs to what follows
+            ahead = blocks[i].heading and after[i] is not None and after[i][1]
             out.append(ahead or (votes == {True} if len(votes) == 1 else bool(blocks[i].article)))
     return out
 
 
 def main_text(page: str) -> str:
-    """Kept blocks, joined by a line feed; empty if there are none.
-
-    On a page with an article (or main) element that has text, only its blocks count.
-    """
+    """Kept blocks, joined by a line feed; empty if there are none."""
     blocks = blocks_of(page)
-    if any(b.article for b in blocks):
-        blocks = [b for b in blocks if b.article]
-    keep = second_pass(blocks, [first_pass(b) for b in blocks])
+    keep = second_pass(blocks, first_pass(blocks))
     return "\n".join([b.text for b, k in zip(blocks, keep, strict=True) if k])
 
 
 def extract_text(pages: DataFrame, html_column: str = "html", carry: list[str] | None = None) -> DataFrame:
     """pages with `text` and `n_chars` (code points). Null and empty html give an empty text.
 
-    Columns of pages named text or n_chars are replaced; others stay.
+    Columns of pages named text or n_chars are replaced; others stay. Pages are read
+    whole, in time linear in their length, unclosed and deeply nested elements included.
+    Repeated rows give repeated results; an empty table gives none.
     """
 
     def make():
