@@ -141,60 +141,60 @@ def near_duplicates(
     Repeated rows stay; an empty table gives none. Other columns are not carried.
     """
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    prints = with_fingerprint(named, "text", shingle, carry=["doc_id"])
-    return _labelled(prints, distance, blocks, bucket).select("doc_id", "fingerprint", "component_id")
-
-
-def _labelled(prints: DataFrame, distance: int = 2, blocks: int = 4, bucket: int = 64, rows: DataFrame | None = None) -> DataFrame:
-    """prints (doc_id, fingerprint, more) with component_id and the component's root.
-
-    With a column `sketch` (and item, n), texts of high similarity are linked besides
-    (similar_links()); rows then has the texts by __id and __row.
-    """
-    prints = cut_lineage(prints)
+    prints = cut_lineage(with_fingerprint(named, "text", shingle, carry=["doc_id"]))
     groups = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    links = close_links(groups.select(F.col("fingerprint").alias("fp")), distance, blocks, bucket)
-    if "sketch" in prints.columns:
-        items = prints.groupBy("item").agg(
-            F.min("fingerprint").alias("fp"), F.min("n").alias("n"), F.min(F.struct("__id", "__row")).alias("rep"), F.min("sketch").alias("sketch")
-        )
-        items = cut_lineage(items)
-        equal = prints.join(items.select("item", "fp"), "item").where("fingerprint <> fp").select(F.col("fingerprint").alias("a"), F.col("fp").alias("b")).distinct()
-        links = similar_links(items, known=links.unionByName(equal), whole=_reader(items, rows))
-        prints = prints.drop("sketch", "item", "n")
-    roots = connected_components(links)
+    roots = connected_components(close_links(groups.select(F.col("fingerprint").alias("fp")), distance, blocks, bucket))
     rooted = groups.join(roots, groups.fingerprint == roots.node, "left").select(
         "fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fingerprint", "root", "component_id"), "fingerprint")
+    named_roots = rooted.join(least, "root").select("fingerprint", "component_id")
+    return prints.join(named_roots, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 SKETCH, KEYS = 192, 8
 #: Sketches that say less than this are of no pair above 0.8: over six standard errors.
 CLEAR_MISS = 0.6
-
-
-def _distinct_shingles(text: bytes, shingle: int = 5) -> set[bytes]:
-    words = text.lower().split()
-    k = min(shingle, len(words))
-    return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else {b""}
-
-
-def _codes(text: bytes, shingle: int = 5) -> np.ndarray:
-    joined = _distinct_shingles(text, shingle)
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(g) for g in joined), np.uint32, len(joined))).astype("<u4")
+#: Least hashes of a text whose frequencies tell how near it is to the middle of its groups.
+PROBES = 64
+#: Words whose hashes a task remembers; beyond, it starts anew.
+REMEMBERED = 200_000
+MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(29)
+
+
+class ShingleCoder:
+    """Distinct 64-bit codes of word shingles, ascending: a mix of the codes of their words, in order."""
+
+    def __init__(self, shingle: int = 5):
+        self.shingle, self.words = shingle, {}
+        self.factors = [np.uint64(pow(int(MIX[0]), 2 * k + 1, 1 << 64)) for k in range(shingle)]
+
+    def codes(self, text: bytes) -> np.ndarray:
+        words = text.lower().split()
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        known = self.words
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh64_intdigest(w)
+        n = len(words)
+        each = np.fromiter(map(known.__getitem__, words), np.uint64, n)
+        k = min(self.shingle, n)
+        mixed = np.zeros(max(1, n - k + 1), np.uint64)
+        for i in range(k):
+            mixed += each[i : n - k + 1 + i] * self.factors[i]
+        mixed ^= mixed >> MIX[2]
+        mixed *= MIX[1]
+        mixed ^= mixed >> np.uint64(32)
+        return np.unique(mixed)
+
+
+def _sketch(codes: np.ndarray) -> bytes:
+    return np.unique((codes[:SKETCH] >> np.uint64(32)).astype("<u4")).tobytes()
 
 
 def sketch_of(text: bytes, shingle: int = 5) -> bytes:
-    """The least SKETCH distinct hashes (32 bits, ascending) of the word shingles."""
-    return _codes(text, shingle)[:SKETCH].tobytes()
-
-
-def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
-    """All distinct hashes (64 bits, signed) of the word shingles."""
-    joined = _distinct_shingles(text, shingle)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g) for g in joined), np.uint64, len(joined))).view(np.int64)
+    """The least SKETCH distinct hashes (32 bits, ascending) of the word shingles; one for a text without words."""
+    return _sketch(ShingleCoder(shingle).codes(text))
 
 
 def sketch_similarity(a: bytes, b: bytes) -> float:
@@ -207,78 +207,135 @@ def sketch_similarity(a: bytes, b: bytes) -> float:
 
 
 def similar_links(
-    sketches: DataFrame,
+    items: DataFrame,
     similarity: float = 0.8,
     bucket: int = 16,
-    leaders: int = 4,
     known: DataFrame | None = None,
     whole: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Edges (a, b) that connect fingerprints whose texts reach the similarity in five-word shingles.
 
-    sketches: fp, sketch, and for texts beyond SKETCH shingles item (one per distinct
-    set of shingles) and n (its size), with whole(items) giving (item, set). known:
-    further edges, which the result connects too.
+    items: fp, sketch, and for texts beyond SKETCH shingles item (one per distinct set
+    of shingles), n (its size) and keys (its least codes), with whole(items) giving
+    (item, set). known: further edges, which the result connects too.
 
     Two bits of 64 hold near-identical texts only: at a similarity of 0.8 fingerprints
     differ in about ten, beyond any useful choice of blocks. So texts are also blocked by
-    their KEYS least shingle hashes, of which similar texts share some (at 0.8 about
+    their KEYS least shingle codes, of which similar texts share some (at 0.8 about
     seven of eight). In blocks of up to `bucket` members each pair is held against each
-    other; in larger ones (groups of copies, frequent passages) each member against a
-    few leaders, which joins most copies. What larger blocks still hold in more than one
-    component goes the exact way of _crossing(). Sketches only discard clear misses.
+    other; in larger ones (groups of copies, frequent passages) each member against the
+    one whose shingles are the most frequent, which stands in the middle of its copies.
+    What large blocks then still hold in more than one component goes the exact way of
+    _crossing(), so no link depends on a block's size. Sketches only discard clear misses.
     """
-    if "item" not in sketches.columns:
-        sketches = sketches.select("fp", F.col("fp").alias("item"), (F.length("sketch") / 4).cast("long").alias("n"), "sketch")
-    held = cut_lineage(sketches.select("item", "fp", "n", "sketch"))
-    codes = F.transform(F.sequence(F.lit(0), F.least(F.lit(KEYS), (F.length("sketch") / 4).cast("int")) - 1), lambda i: F.hex(F.substring("sketch", i * 4 + 1, F.lit(4))))
-    dealt = held.select("item", "fp", F.explode(codes).alias("key"))
-    drawn = [f(F.col("item"), F.xxhash64("key", "item", F.lit(i))) for i in range(leaders // 2) for f in (F.min_by, F.max_by)]
-    blocks = dealt.groupBy("key").agg(F.count("*").alias("size"), F.array(*drawn).alias("leaders")).where("size > 1")
-    shared = cut_lineage(dealt.join(blocks, "key"))
+    if "item" not in items.columns:
+        size = (F.length("sketch") / 4).cast("int")
+        codes = F.transform(F.sequence(F.lit(0), F.least(F.lit(KEYS), size) - 1), lambda i: F.conv(F.hex(F.substring("sketch", i * 4 + 1, F.lit(4))), 16, 10).cast("long"))
+        items = items.select("fp", F.col("fp").alias("item"), size.cast("long").alias("n"), codes.alias("keys"), "sketch")
+    held = cut_lineage(items.select("item", "fp", "n", "keys", "sketch"))
+    dealt = held.select("item", F.explode("keys").alias("key"))
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = cut_lineage(dealt.join(sizes, "key"))
     small = shared.where(F.col("size") <= bucket).select("key", "item")
     close = small.withColumnRenamed("item", "b").join(small.withColumnRenamed("item", "a"), "key").where("a > b").select("a", "b")
-    large = shared.where(F.col("size") > bucket)
-    stars = (
-        large.select("item", F.explode("leaders").alias("leader"))
-        .where("item <> leader")
-        .select(F.greatest("item", "leader").alias("a"), F.least("item", "leader").alias("b"))
-    )
-    links = _reaching(close.unionByName(stars).distinct(), held, similarity, whole)
-    roots = cut_lineage(connected_components(links if known is None else links.unionByName(known)))
-    placed = large.join(roots, large.fp == roots.node, "left").select("key", "item", F.coalesce("root", "fp").alias("root"))
+    large = shared.where(F.col("size") > bucket).select("key", "item")
+    pairs = close.unionByName(_to_leaders(large, held)).distinct()
+    links = _reaching(pairs, held, similarity, whole)
+    links = links if known is None else links.unionByName(known)
+    roots = cut_lineage(connected_components(links))
+    found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    placed = large.join(held.select("item", "fp"), "item").join(roots, F.col("fp") == F.col("node"), "left").select("key", "item", F.coalesce("root", "fp").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     left = cut_lineage(placed.join(mixed, "key", "left_semi").groupBy("item").agg(F.min("root").alias("root")))
-    found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     if left.isEmpty():
         return found
     sets = whole(left.select("item")) if whole else _sketch_sets(held.join(left, "item", "left_semi"))
-    return found.unionByName(_reaching(_crossing(cut_lineage(sets.join(left, "item")), similarity), held, similarity, whole))
+    sets = cut_lineage(sets.join(left, "item"))
+    return found.unionByName(_alike(_crossing(sets, similarity), sets, similarity))
+
+
+def _to_leaders(large: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b: each member of each large block (key, item) with the block's leader.
+
+    The leader's PROBES least hashes are the most frequent on average among the members
+    of large blocks; ties go to the smaller item. Frequencies are counted, not gathered.
+    """
+    members = held.join(large.select("item").distinct(), "item", "left_semi")
+
+    def make():
+        return lambda sketches: [pa.array([np.frombuffer(x, "<u4")[:PROBES].astype(np.int64) for x in sketches.to_pylist()], pa.list_(pa.int64()))]
+
+    probes = arrow_columns(members, ["sketch"], struct(("probes", T.ArrayType(T.LongType()))), make, ["item"]).select("item", F.explode("probes").alias("probe"))
+    often = probes.groupBy("probe").agg(F.count("*").alias("often"))
+    middle = cut_lineage(probes.join(often, "probe").groupBy("item").agg(F.avg("often").alias("middle")))
+    ranked = large.join(middle, "item")
+    best = F.max(F.struct("middle", F.bitwise_not("item").alias("last")))
+    leaders = ranked.groupBy("key").agg(best.alias("best")).select("key", F.bitwise_not("best.last").alias("leader"))
+    return (
+        large.join(leaders, "key")
+        .where("item <> leader")
+        .select(F.greatest("item", "leader").alias("a"), F.least("item", "leader").alias("b"))
+    )
 
 
 def _crossing(sets: DataFrame, similarity: float) -> DataFrame:
     """Candidate pairs (a, b) of different roots among sets (item, root, set): all that reach the similarity are there.
 
-    Prefix filter: of two such sets each holds, among its n - ceil(similarity n) + 1
-    first hashes by any common order, one of the other's. Hashes that only one root has
-    come first and make no pair, then rarer ones, so a frequent passage gives blocks
-    only to texts that consist of it. A pair stays if enough of both follows the hash.
+    Prefix filter: two such sets share a hash after which (in any common order) each
+    still holds as many of the other's as the similarity asks for. Hashes that only one
+    root has make no pair and are left out, rarer ones come first, and a hash counts
+    only where enough follows it for the smallest set that has it. So copies with too
+    many words of their own, and texts around a frequent passage, drop out before any
+    join. Of each hash, the sets of its most frequent root are joined with those of
+    other roots only.
     """
-    tokens = sets.select("item", "root", F.explode("set").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("often"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    held = tokens.join(often, "token").groupBy("item").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("tokens"))
-    first = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9)) + 1 - (F.col("n") - F.size("tokens"))
+    sized = sets.select("item", "root", F.size("set").alias("n"), "set")
+    tokens = sized.select("item", "root", "n", F.explode("set").alias("token"))
+    often = (
+        tokens.groupBy("token")
+        .agg(F.count("*").alias("often"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least"))
+        .where("low <> high")
+        .select("token", "often", "least")
+    )
+    share = F.lit(similarity / (1 + similarity))
+    lower = F.col("n") * F.lit(similarity)
+    rest = F.col("m") - F.col("at")
     keyed = (
-        held.join(sets.select("item", "root", F.size("set").alias("n")), "item")
-        .withColumn("first", first.cast("int"))
-        .where("first > 0")
-        .select("item", "root", "n", F.size("tokens").alias("m"), F.posexplode(F.slice("tokens", F.lit(1), F.col("first"))).alias("at", "t"))
-        .select(F.col("t.token").alias("token"), "item", "root", "n", (F.col("m") - F.col("at")).alias("rest"))
+        tokens.join(often, "token")
+        .groupBy("item", "root", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("often", "token", "least"))).alias("shared"))
+        .where(F.size("shared") >= lower - F.lit(1e-9))
+        .select("item", "root", "n", F.size("shared").alias("m"), F.posexplode("shared").alias("at", "t"))
+        .where((rest >= lower - F.lit(1e-9)) & (rest >= (F.col("n") + F.greatest(F.col("t.least"), lower)) * share - F.lit(1e-6)))
+        .select(F.col("t.token").alias("token"), "item", "root", "n", rest.alias("rest"))
     )
     keyed = cut_lineage(keyed)
-    side = lambda x: keyed.select("token", F.col("item").alias(x), *[F.col(c).alias(c + x) for c in ("root", "n", "rest")])
-    enough = F.least("resta", "restb") >= (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
-    return side("a").join(side("b"), "token").where((F.col("roota") < F.col("rootb")) & enough).select("a", "b").distinct()
+    main = (
+        keyed.groupBy("token", "root")
+        .agg(F.count("*").alias("c"))
+        .groupBy("token")
+        .agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots"))
+        .where("roots > 1")
+        .select("token", F.col("top.root").alias("main"))
+    )
+    dealt = cut_lineage(keyed.join(main, "token"))
+    side = lambda x: [F.col(c).alias(c + x) for c in ("item", "root", "n", "rest")]
+    others = dealt.where("root <> main").select("token", *side("a"))
+    enough = F.least("resta", "restb") >= (F.col("na") + F.col("nb")) * share - F.lit(1e-6)
+    once = (F.col("rootb") == F.col("main")) | (F.col("roota") < F.col("rootb"))
+    met = others.join(dealt.select("token", "main", *side("b")), "token").where((F.col("roota") != F.col("rootb")) & once & enough)
+    return met.select(F.greatest("itema", "itemb").alias("a"), F.least("itema", "itemb").alias("b")).distinct()
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The roots (a, b) of those pairs of items whose whole sets reach the similarity."""
+    of = lambda x: sets.select(F.col("item").alias(x), F.col("set").alias(f"set{x}"), F.col("root").alias(f"root{x}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(_jaccard("seta", "setb") >= similarity).select(F.col("roota").alias("a"), F.col("rootb").alias("b")).distinct()
+
+
+def _jaccard(a: str, b: str) -> Column:
+    both = F.array(F.size(F.array_intersect(a, b)))
+    return F.element_at(F.transform(both, lambda o: o / (F.size(a) + F.size(b) - o)), 1)
 
 
 def _reaching(pairs: DataFrame, held: DataFrame, similarity: float, whole: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
@@ -299,10 +356,11 @@ def _reaching(pairs: DataFrame, held: DataFrame, similarity: float, whole: Calla
     full = F.greatest("na", "nb") < SKETCH  # sketches that are the whole sets
     judged = cut_lineage(judged.where(F.col("s") >= F.when(full, similarity).otherwise(min(CLEAR_MISS, similarity))))
     unsure = judged.where(~full)
+    if unsure.isEmpty():
+        return judged.select(*edges)
     sets = cut_lineage(whole(unsure.select(F.explode(F.array("a", "b")).alias("item")).distinct()))
     of = lambda x: sets.select(F.col("item").alias(x), F.col("set").alias(f"set{x}"))
-    both = F.array(F.size(F.array_intersect("seta", "setb")))
-    exact = unsure.join(of("a"), "a").join(of("b"), "b").where(F.exists(both, lambda o: o / (F.size("seta") + F.size("setb") - o) >= similarity))
+    exact = unsure.join(of("a"), "a").join(of("b"), "b").where(_jaccard("seta", "setb") >= similarity)
     return judged.where(full).select(*edges).unionByName(exact.select(*edges))
 
 
@@ -321,7 +379,8 @@ def _reader(items: DataFrame, rows: DataFrame) -> Callable[[DataFrame], DataFram
     """Makes (item, set) of all shingles from the texts of the items asked for."""
 
     def make():
-        return lambda texts: [pa.array([shingle_set(t) for t in utf8(texts)], pa.list_(pa.int64()))]
+        coder = ShingleCoder()
+        return lambda texts: [pa.array([coder.codes(t).view(np.int64) for t in utf8(texts)], pa.list_(pa.int64()))]
 
     def whole(asked: DataFrame) -> DataFrame:
         places = cut_lineage(items.join(asked, "item", "left_semi").select("item", "rep.__id", "rep.__row"))
@@ -333,41 +392,72 @@ def _reader(items: DataFrame, rows: DataFrame) -> Callable[[DataFrame], DataFram
 
 
 def _with_both(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """docs with fingerprint, sketch, the number n of shingles and a code of their set, from one pass over the texts."""
+    """docs with fingerprint, and of the five-word shingles sketch, least codes, number n and a code of their set, from one pass over the texts."""
 
     def make():
+        coder = ShingleCoder()
+
         def work(texts):
             rows = utf8(texts)
-            codes = [_codes(t) for t in rows]
+            codes = [coder.codes(t) for t in rows]
             yield pa.array(np.array([simhash(t) for t in rows], np.uint64).view(np.int64))
-            yield pa.array([c[:SKETCH].tobytes() for c in codes], pa.binary())
+            yield pa.array([_sketch(c) for c in codes], pa.binary())
+            yield pa.array([c[:KEYS].view(np.int64) for c in codes], pa.list_(pa.int64()))
             yield pa.array([len(c) for c in codes], pa.int64())
             yield pa.array(np.array([xxhash.xxh64_intdigest(c.tobytes()) for c in codes], np.uint64).view(np.int64))
 
         return work
 
-    out = struct(("fingerprint", T.LongType()), ("sketch", T.BinaryType()), ("n", T.LongType()), ("item", T.LongType()))
+    out = struct(
+        ("fingerprint", T.LongType()), ("sketch", T.BinaryType()), ("keys", T.ArrayType(T.LongType())), ("n", T.LongType()), ("item", T.LongType())
+    )
     return arrow_columns(docs, ["text"], out, make, carry)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with __id and __row, which tell rows of different (doc_id, text) apart."""
+    return docs.withColumns({"__id": F.coalesce("doc_id", F.lit(-1)), "__row": F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text"))})
+
+
+def _grouped(docs: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, __id, __row, fingerprint, ...) per row of docs, and (fingerprint, root) per fingerprint."""
+    rows = _keyed(docs.select("doc_id", "text"))
+    prints = cut_lineage(_with_both(rows, ["doc_id", "__id", "__row"]))
+    items = cut_lineage(
+        prints.groupBy("item").agg(
+            F.min("fingerprint").alias("fp"), F.min("n").alias("n"), F.min(F.struct("__id", "__row")).alias("rep"),
+            F.first("sketch").alias("sketch"), F.first("keys").alias("keys"),
+        )
+    )
+    prints = prints.select("doc_id", "__id", "__row", "fingerprint", "item")
+    distinct = prints.select(F.col("fingerprint").alias("fp")).distinct()
+    equal = prints.join(items.select("item", "fp"), "item").where("fingerprint <> fp").select(F.col("fingerprint").alias("a"), F.col("fp").alias("b")).distinct()
+    links = similar_links(items, known=close_links(distinct, distance).unionByName(equal), whole=_reader(items, rows.select("text", "__id", "__row")))
+    roots = connected_components(links)
+    return prints, distinct.join(roots, distinct.fp == roots.node, "left").select(F.col("fp").alias("fingerprint"), F.coalesce("root", "fp").alias("root"))
+
+
+def similar_groups(docs: DataFrame, distance: int = 2) -> DataFrame:
+    """One row (doc_id, root) per row of docs: rows of one root are near-duplicates by the rule of drop_near_duplicates()."""
+    prints, roots = _grouped(docs, distance)
+    return prints.join(roots, "fingerprint").select("doc_id", "root")
+
+
 def drop_near_duplicates(docs: DataFrame, distance: int = 2) -> DataFrame:
     """One row of each group of near-duplicates: that of the smallest doc_id.
 
     Rows are in a group if linked by fingerprints within `distance` bits or by a
     similarity of 0.8 in five-word shingles. Ties on doc_id go to one text; of wholly
     repeated (doc_id, text) rows one stays. A null doc_id wins only in a group without
-    any other. All columns stay.
+    any other. Null and empty texts are one group. Long texts are read whole. All
+    columns stay; texts are exchanged once, to keep the rows chosen.
     """
-    keys = [
-        F.coalesce("doc_id", F.lit(-1)).alias("__id"),
-        F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text")).alias("__row"),
-    ]
-    prints = _with_both(docs.select("doc_id", "text", *keys), ["doc_id", "__id", "__row"])
+    prints, roots = _grouped(docs, distance)
     order = F.struct(F.col("doc_id").isNull(), F.col("__id"), F.col("__row"))
-    first = _labelled(prints, distance, rows=docs.select("text", *keys)).groupBy("root").agg(F.min(order).alias("o")).select("o.__id", "o.__row")
+    first = prints.groupBy("fingerprint").agg(F.min(order).alias("o")).join(roots, "fingerprint").groupBy("root").agg(F.min("o").alias("o"))
     return (
-        docs.select("*", *keys)
-        .join(first, ["__id", "__row"], "left_semi")
+        _keyed(docs)
+        .join(first.select("o.__id", "o.__row"), ["__id", "__row"], "left_semi")
         .dropDuplicates(["__id", "__row"])
         .select(*[docs[c] for c in docs.columns])
     )
