@@ -331,6 +331,26 @@ def decode(docs: DataFrame, ids: str = "ids", path: str | None = None, carry: li
     return arrow_columns(docs, [ids], struct(("decoded", T.StringType())), make, carry)
 
 
+def round_trip(docs: DataFrame, text: str = "text", path: str | None = None, carry: list[str] | None = None) -> DataFrame:
+    """docs with `ids`, `n_tokens` and `decoded`, the text that the ids decode to, in one pass."""
+    path = path or default_path()
+
+    def make():
+        bpe = load(path)
+
+        def work(column):
+            ids = bpe.encode_batch(strings(column))
+            sizes = np.array([len(x) // 4 for x in ids], np.int64)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            return [lists, pa.array(sizes), pa.array([bpe.decode(x) for x in ids], pa.string())]
+
+        return work
+
+    out = struct(("ids", T.ArrayType(T.IntegerType())), ("n_tokens", T.LongType()), ("decoded", T.StringType()))
+    return arrow_columns(docs, [text], out, make, carry)
+
+
 def digests(docs: DataFrame, text: str = "text", path: str | None = None, carry: list[str] | None = None) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256 of encoding and decoding back.
 

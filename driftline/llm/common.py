@@ -20,14 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, which all executors share: the one the session names in
-    spark.checkpoint.dir, or a temporary one where it names none (local tests)."""
+    spark.checkpoint.dir, or, on a local master without one, a temporary folder."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftline-ckpt-"))
     return sc.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
