@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import bpe, decontam, quality_gam, secrets, simhash
-from driftline.llm.common import shared_folder, table
+from driftline.llm.common import remove_folder, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +27,10 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact_secrets(docs)
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), carry=["doc_id", "lang", "source"])
-    return encoded.select("doc_id", "lang", "source", "n_tokens", F.col("ids").alias("input_ids"))
+def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, and what they decode to."""
+    done = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), carry=["doc_id", "lang", "source"])
+    return done.select("doc_id", "lang", "source", "n_tokens", F.col("ids").alias("input_ids"), "decoded")
 
 
 STAGES = [
@@ -37,21 +38,24 @@ STAGES = [
     ("near-dedup", near_dedup),
     ("benchmark decontamination", decontaminate),
     ("secret scan", redact),
-    ("bpe encoding", encode),
+    ("bpe encoding and decoding", encode_and_decode),
 ]
 
-#: The classifier and the tokenizer can't be said in SQL; tests hold the stages against brute force.
+#: The classifier and the tokenizer can't be said in SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written to the shared folder and read again."""
+    """All stages over documents; each is written to the shared folder and read again.
+
+    A stage's table goes when the next one is written; the last one stays, as the
+    result is read from it. An empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{folder}/{k}")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+        if k:
+            remove_folder(spark, f"{folder}/{k - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)
