@@ -17,12 +17,18 @@ def with_idles(knots: DataFrame) -> DataFrame:
     return knots.unionByName(first.withColumns({c: F.lit(0.0) for c in ("dx", "dy", "dz")}))
 
 
-def frames(knots: DataFrame) -> DataFrame:
-    """Per knot idx the four control points idx - 2 .. idx + 1 as px0 .. pz3 (dx0 .. dz3)."""
-    order = Window.partitionBy("run").orderBy("idx")
+def frames(knots: DataFrame, block: int = 4096) -> DataFrame:
+    """Per knot idx the four control points idx - 2 .. idx + 1 as px0 .. pz3 (dx0 .. dz3).
+
+    Knots go into blocks of idx; those near a border go into the next one as well, so
+    that no window spans more than a block, however long a run is.
+    """
     at = lambda c, k: (F.lag(c, 2 - k) if k < 2 else F.lead(c, k - 2) if k > 2 else F.col(c))
+    of = lambda shift: F.expr(f"CAST(floor((idx + {shift}) / {block}e0) AS BIGINT)")
+    dealt = with_idles(knots).withColumn("block", F.explode(F.array_distinct(F.array(of(0), of(2), of(-1)))))
+    order = Window.partitionBy("run", "block").orderBy("idx")
     cols = [(F.col(c) if k == 2 else at(c, k).over(order)).alias(f"{c}{k}") for c in NAMES for k in range(4)]
-    return with_idles(knots).select("run", "idx", *cols)
+    return dealt.select("run", "idx", "block", *cols).where(F.col("block") == of(0)).drop("block")
 
 
 def segment_join(points: DataFrame, knots: DataFrame, t0: int, step: int, time: str = "t_us") -> DataFrame:
@@ -40,40 +46,41 @@ def position(order: int = 0, step_s: float = 1.0) -> dict[str, str]:
     return {f"w{c}": spline([f"p{c}{k}" for k in range(4)], "u", order, step_s) for c in "xyz"}
 
 
-def rotation_prefix(knots: DataFrame) -> DataFrame:
+def rotation_prefix(knots: DataFrame, block: int = BLOCK, levels: int = 2) -> DataFrame:
     """(run, idx, qw, qx, qy, qz): the running product of exp(delta) in order of idx.
 
-    Products don't commute, but they associate: each block of 256 knots is multiplied
-    on its own, the block products are run through once per run, and rows follow.
-    Null deltas and gaps in idx aren't expected; the product goes over the rows there are.
+    Products don't commute, but they associate: blocks of 256 knots are multiplied on
+    their own, then blocks of block products, and so on, and what stands before a block
+    goes back down the tree by joins. With two levels, up to 256^3 knots of a run never
+    meet in one row. Null deltas and gaps in idx aren't expected; the product goes over
+    the rows there are.
     """
-    one = F.struct(*[F.lit(v).alias(c) for v, c in zip((1.0, 0.0, 0.0, 0.0), "wxyz", strict=True)])
-    mul = lambda a, b: F.struct(*[e.alias(c) for e, c in zip(_product(a, b), "wxyz", strict=True)])
     rows = with_quat(knots, "e", quat_exp(vec("d"))).select("run", "idx", F.struct(*[F.col(f"e{c}").alias(c) for c in "wxyz"]).alias("e"))
+    return _before(rows, block, levels).select("run", "idx", _multiplied(F.col("before"), F.col("e")).alias("q")).select(
+        "run", "idx", *[F.col(f"q.{c}").alias(f"q{c}") for c in "wxyz"]
+    )
+
+
+def _before(rows: DataFrame, block: int, levels: int) -> DataFrame:
+    """rows (run, idx, e) with `before`, the product of all e of smaller idx in the run."""
+    one = F.struct(*[F.lit(v).alias(c) for v, c in zip((1.0, 0.0, 0.0, 0.0), "wxyz", strict=True)])
+    start = F.struct(one.alias("q"), F.array().cast("array<struct<w:double,x:double,y:double,z:double>>").alias("all"))
+    grown = lambda acc, r: F.struct(_multiplied(acc["q"], r["e"]).alias("q"), F.concat(acc["all"], F.array(acc["q"])).alias("all"))
     blocks = (
-        rows.groupBy("run", F.expr(f"idx div {BLOCK}").alias("block"))
+        rows.groupBy("run", F.expr(f"CAST(floor(idx / {block}e0) AS BIGINT)" if levels else "0L").alias("block"))
         .agg(F.sort_array(F.collect_list(F.struct("idx", "e"))).alias("rows"))
-        .withColumn("total", F.aggregate("rows", one, lambda acc, r: mul(acc, r["e"])))
-    )
-    sums = blocks.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("block", "total"))).alias("all"))
-    before = sums.select("run", F.explode("all").alias("b"), "all").select(
-        "run",
-        F.col("b.block").alias("block"),
-        F.aggregate(F.expr("filter(all, x -> x.block < b.block)"), one, lambda acc, x: mul(acc, x["total"])).alias("start"),
-    )
-    each = blocks.join(before, ["run", "block"]).select(
-        "run",
-        F.explode(
-            F.transform(
-                "rows",
-                lambda r, i: F.struct(
-                    r["idx"].alias("idx"),
-                    F.aggregate(F.slice("rows", F.lit(1), i + 1), F.col("start"), lambda acc, x: mul(acc, x["e"])).alias("q"),
-                ),
-            )
-        ).alias("r"),
+        .withColumn("done", F.aggregate("rows", start, grown))
     )
-    return each.select("run", "r.idx", *[F.col(f"r.q.{c}").alias(f"q{c}") for c in "wxyz"])
+    flat = lambda df, *more: df.select("run", *more, F.explode(F.arrays_zip("rows", F.col("done.all").alias("all"))).alias("r"))
+    if not levels:
+        return flat(blocks).select("run", "r.rows.idx", "r.rows.e", F.col("r.all").alias("before"))
+    starts = _before(blocks.select("run", F.col("block").alias("idx"), F.col("done.q").alias("e")), block, levels - 1)
+    joined = flat(blocks.join(starts.select("run", F.col("idx").alias("block"), F.col("before").alias("start")), ["run", "block"]), "start")
+    return joined.select("run", "r.rows.idx", "r.rows.e", _multiplied(F.col("start"), F.col("r.all")).alias("before"))
+
+
+def _multiplied(a: Column, b: Column) -> Column:
+    return F.struct(*[e.alias(c) for e, c in zip(_product(a, b), "wxyz", strict=True)])
 
 
 def _product(a: Column, b: Column) -> list[Column]:

@@ -59,7 +59,7 @@ def inertial(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream(spark, sf_dir)
         .where(F.col("sensor").isin("view", "signup"))
         .selectExpr(
-            "id", "t_us", "(k - 50) / 100.0D AS ax", "(user_id - 75) / 100.0D AS ay", "1.0D + value / 1000 AS az",
+            "id", "t_us", "user_id", "(k - 50) / 100.0D AS ax", "(user_id - 75) / 100.0D AS ay", "1.0D + value / 1000 AS az",
             "(k - 50) / 50.0D AS gx", "(user_id - 75) / 50.0D AS gy", "value / 500 AS gz",
         )
     )

@@ -13,7 +13,7 @@ from driftline.sources import messages
 from driftline.sources.config import Sensor, sensor_table
 
 #: Sensor kinds that the event types stand for.
-KINDS = {"view": "Ouster", "click": "HAP360", "signup": "AviaResple", "purchase": "Hesai", "error": "Mid360Boxi"}
+KINDS = {"view": "Ouster", "click": "HAP360", "signup": "AviaLateFirst", "purchase": "Hesai", "error": "Mid360Boxi"}
 SENSORS = tuple(
     Sensor(name, kind, 3, 0.5 + i / 2, (0.9, 0.1 * i, 0.2, 0.1), (0.1 * i, 0.2, -0.3), 0.01 * (i + 1))
     for i, (name, kind) in enumerate(KINDS.items())
@@ -75,7 +75,7 @@ def src_livox_decode(spark, sf_dir):
 
 @query(_livox_sql("signup", 2, 2.0, True))
 def src_livox_avia_decode(spark, sf_dir):
-    return shown(messages.decode(points(spark, sf_dir, "signup"), "AviaResple", 2, 2.0, 3))
+    return shown(messages.decode(points(spark, sf_dir, "signup"), "AviaLateFirst", 2, 2.0, 3))
 
 
 @query(_plain_sql("purchase", "floor(t_us / 1e6)::BIGINT * 1000000000 + trunc((t_us / 1e6 - floor(t_us / 1e6)) * 1e9)::BIGINT - begin_us * 1000", 1, 0.5))

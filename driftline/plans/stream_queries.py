@@ -38,10 +38,8 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inertial rows of the same runs."""
-    user = stream(spark, sf_dir).selectExpr("id AS uid", "user_id")
     zero = [f"0e0 AS {c}" for c in ("bx", "by", "bz", "nx", "ny", "nz", "d", "w_pt")]
-    df = inertial(spark, sf_dir)
-    return df.join(user, df.id == user.uid).selectExpr(
+    return inertial(spark, sf_dir).selectExpr(
         "CAST(user_id AS STRING) AS run", f"(t_us - {T0}) div {STEP} AS segment", f"((t_us - {T0}) % {STEP}) / {STEP}e0 AS u", "0 AS kind", "id", *zero,
         "ax * 0.1e0 AS ax", "ay * 0.1e0 AS ay", "az * 9.81e0 AS az", "gx * 0.1e0 AS gx", "gy * 0.1e0 AS gy", "gz * 0.1e0 AS gz",
     )

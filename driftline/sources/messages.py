@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.functions.scalars import offset_ms
+from driftline.streaming.late import drop_late
 
 
 def _struct(ddl: str) -> T.StructType:
@@ -54,7 +55,7 @@ DECODERS = {
     "Ouster": Decoder(shifted=True),
     "Mid70Avia": Decoder(livox=True),
     "HAP360": Decoder(livox=True),
-    "AviaResple": Decoder(livox=True, late_first=True),
+    "AviaLateFirst": Decoder(livox=True, late_first=True),
     "Hesai": Decoder(clock="seconds"),
     "Mid360Boxi": Decoder(clock="nanos"),
 }
@@ -89,7 +90,8 @@ def not_late(points: DataFrame) -> DataFrame:
 def decode(points: DataFrame, kind: str, n: int = 1, blind: float = 0.5, scan_line: int = 4, shift_s: float = 0.0) -> DataFrame:
     """Accepted points of flat rows (sensor, msg, begin_ns, pos, stamp, x, y, z, tag, line, ...).
 
-    Adds t_ns and off_ms (float32). Unknown kinds raise.
+    Adds t_ns and off_ms (float32). Unknown kinds raise. Late points go by the mark
+    that may go back (streaming.late).
     """
     if kind not in DECODERS:
         raise ValueError(f"unknown sensor kind {kind}")
@@ -102,16 +104,16 @@ def decode(points: DataFrame, kind: str, n: int = 1, blind: float = 0.5, scan_li
     far = F.expr(f"x*x + y*y + z*z > {blind * blind}e0 AND NOT isnan(x*x + y*y + z*z)")
     if not d.livox:
         kept = rows.where((F.col("pos") % n == 0) & (F.col("off_ms") >= 0) & far)
-        return not_late(kept)
+        return drop_late(kept)
     first = Window.partitionBy("sensor", "msg").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.select("*", *[F.first(c).over(first).alias(f"first_{c}") for c in "xyz"])
     rows = rows.where((F.col("pos") >= 1) & F.col("tag").bitwiseAND(48).isin(0, 16) & (F.col("line") < scan_line))
     if d.late_first:
-        rows = not_late(rows)
+        rows = drop_late(rows)
     rows = rows.withColumn("ordinal", F.row_number().over(in_message)).where(F.col("ordinal") % n == 0)
     rows = rows.withColumn("moved", moved(in_message)).where("moved")
     kept = rows.where((F.col("off_ms") >= 0) & far).drop("ordinal", "moved", "first_x", "first_y", "first_z")
-    return kept if d.late_first else not_late(kept)
+    return kept if d.late_first else drop_late(kept)
 
 
 def moved(order) -> Column:
