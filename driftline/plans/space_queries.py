@@ -140,13 +140,13 @@ def flt_knn_gate(spark, sf_dir):
     return found.where("n >= 5 AND far < 5e0").select("qid", "n", *S.rounded(6, far="far"))
 
 
-def _inlier(limit: str) -> str:
+def inlier(limit: str) -> str:
     return " AND ".join(f"abs(nx*x{i} + ny*y{i} + nz*z{i} + d) <= {limit}" for i in range(1, 6))
 
 
-@query(oracle(f"SELECT qid FROM plane WHERE {_inlier('0.4e0')}", PLANE))
-def flt_plane_inlier(spark, sf_dir):
-    return planes(spark, sf_dir).where(_inlier("0.4e0")).select("qid")
+@query(oracle(f"SELECT qid FROM plane WHERE {inlier('0.4e0')}", PLANE))
+def flt_planeinlier(spark, sf_dir):
+    return planes(spark, sf_dir).where(inlier("0.4e0")).select("qid")
 
 
 @query(oracle("SELECT qid, round(r, 5)+0e0 AS r FROM res WHERE rng > 81e0 * r * r", PLANE))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.plans.lenses import STEP, T0, inertial, scans, stream, table
+from driftline.operators import space
+from driftline.plans.lenses import STEP, T0, cloud, inertial, scans, stream, table
 from driftline.plans.registry import query
+from driftline.plans.space_queries import inlier
 from driftline.streaming import estimator, late, windows
 
 
@@ -27,12 +29,13 @@ def str_voxel_windows(spark, sf_dir):
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event sees one coordinate of its place: a plane across axis id % 3."""
-    n = {c: f"CASE WHEN id % 3 = {i} THEN 1e0 ELSE 0e0 END AS n{c}" for i, c in enumerate("xyz")}
+    """Event points with the plane of their five nearest map points, if all five lie on it."""
+    seen = stream(spark, sf_dir).selectExpr("id", "user_id", "t_us", "(x - 24.5D) / 7 AS x", "y / 2.5D AS y", "z - 5 AS z")
+    planes = space.plane_of(space.nearest(seen.select("id", "x", "y", "z"), cloud(spark, sf_dir))).where(inlier("0.4e0"))
     zero = [f"0e0 AS {c}" for c in ("ax", "ay", "az", "gx", "gy", "gz")]
-    return stream(spark, sf_dir).selectExpr(
-        "CAST(user_id AS STRING) AS run", f"(t_us - {T0}) div {STEP} AS segment", f"((t_us - {T0}) % {STEP}) / {STEP}e0 AS u", "1 AS kind", "id",
-        "0.1e0 AS bx", "0.2e0 AS by", "0.3e0 AS bz", *n.values(), "-(CASE id % 3 WHEN 0 THEN x WHEN 1 THEN y ELSE z END) AS d", "0.01e0 AS w_pt", *zero,
+    return seen.select(F.col("id").alias("qid"), "user_id", "t_us").join(planes, "qid").selectExpr(
+        "CAST(user_id AS STRING) AS run", f"(t_us - {T0}) div {STEP} AS segment", f"((t_us - {T0}) % {STEP}) / {STEP}e0 AS u", "1 AS kind", "qid AS id",
+        "qx AS bx", "qy AS by", "qz AS bz", "nx", "ny", "nz", "d", "0.01e0 AS w_pt", *zero,
     )
 
 

@@ -136,14 +136,18 @@ def prj_compose_pose(spark, sf_dir):
     return path(spark, sf_dir).join(F.broadcast(dim)).select("t_us", "sensor", *S.rounded(5, **COMPOSED))
 
 
-@query(oracle("""SELECT 'body' AS frame, round(px, 5)+0e0 AS x, round(qw, 5)+0e0 AS w FROM last UNION ALL SELECT 'imu_frame', round(px, 5)+0e0, round(qw, 5)+0e0 FROM last
-  UNION ALL SELECT 'lidar_' || sensor, round(""" + COMPOSED["mx"] + ", 5)+0e0, round(" + COMPOSED["cw"] + ", 5)+0e0 FROM last, dim",
+TF_OWN = dict(zip(("x", "y", "z", "qw", "qx", "qy", "qz"), POSE, strict=True))
+TF_LIDAR = dict(zip(TF_OWN, (COMPOSED[c] for c in ("mx", "my", "mz", "cw", "cx", "cy", "cz")), strict=True))
+
+
+@query(oracle(" UNION ALL ".join([*[f"SELECT '{frame}' AS frame, {S.rounded_sql(5, **TF_OWN)} FROM last" for frame in ("body", "imu_frame")], f"SELECT 'lidar_' || sensor, {S.rounded_sql(5, **TF_LIDAR)} FROM last, dim"]),
   path_sql(HOUR) + ", last AS (SELECT t_us, " + ", ".join(f"{e} AS {n}" for n, e in POSE.items()) + f" FROM turned ORDER BY t_us DESC LIMIT 1), dim AS (SELECT * FROM (VALUES {_VALUES}) v(sensor, rw, rx, ry, rz, tx, ty, tz))"))
 def snk_tf(spark, sf_dir):
+    """Newest poses of the body and its inertial unit, and of every sensor."""
     last = path(spark, sf_dir).groupBy("run").agg(F.max_by(F.struct("t_us", *POSE), "t_us").alias("p")).select("p.*")
     dim = sensor_table(spark, SENSORS).withColumnRenamed("name", "sensor")
-    lidars = last.join(F.broadcast(dim)).select(F.concat(F.lit("lidar_"), "sensor").alias("frame"), *S.rounded(5, x=COMPOSED["mx"], w=COMPOSED["cw"]))
-    own = last.select(F.explode(F.array(F.lit("body"), F.lit("imu_frame"))).alias("frame"), *S.rounded(5, x="px", w="qw"))
+    lidars = last.join(F.broadcast(dim)).select(F.concat(F.lit("lidar_"), "sensor").alias("frame"), *S.rounded(5, **TF_LIDAR))
+    own = last.select(F.explode(F.array(F.lit("body"), F.lit("imu_frame"))).alias("frame"), *S.rounded(5, **TF_OWN))
     return own.unionByName(lidars)
 
 
@@ -188,9 +192,12 @@ def agg_quat_prefix(spark, sf_dir):
     return J.rotation_prefix(knots(spark, sf_dir)).select("idx", *S.rounded(6, qw="qw", qx="qx", qy="qy", qz="qz"))
 
 
-@query(oracle("SELECT idx, " + S.rounded_sql(6, py0="py0", py1="py1", py2="py2", py3="py3") + " FROM fr WHERE py0 IS NOT NULL AND py3 IS NOT NULL", KN))
+FRAME = {f"{c}{k}": f"{c}{k}" for c in P + D for k in range(4)}
+
+
+@query(oracle("SELECT idx, " + S.rounded_sql(9, **FRAME) + " FROM fr WHERE py0 IS NOT NULL AND py3 IS NOT NULL", KN))
 def win_knot_frame(spark, sf_dir):
-    return J.frames(knots(spark, sf_dir)).where("py0 IS NOT NULL AND py3 IS NOT NULL").select("idx", *S.rounded(6, py0="py0", py1="py1", py2="py2", py3="py3"))
+    return J.frames(knots(spark, sf_dir)).where("py0 IS NOT NULL AND py3 IS NOT NULL").select("idx", *S.rounded(9, **FRAME))
 
 
 def _derivative(order: int) -> dict[str, str]:
@@ -240,18 +247,19 @@ def fn_knot_time(spark, sf_dir):
 
 
 AHEAD = 8
+_KNOT = [f"{c}{k}" for k in range(4) for c in P + D]
 
 
-@query(oracle(f"""SELECT idx, round(p3, 6)+0e0 AS px, round(d3, 9)+0e0 AS dx FROM ahead WHERE n > 0""",
-  f"""tail AS (SELECT max(idx) AS last FROM l5), ahead AS (SELECT 0 AS n, last AS idx, (SELECT px FROM l5 WHERE idx = last - 3) AS p0, (SELECT px FROM l5 WHERE idx = last - 2) AS p1,
-    (SELECT px FROM l5 WHERE idx = last - 1) AS p2, (SELECT px FROM l5 WHERE idx = last) AS p3, (SELECT dx FROM l5 WHERE idx = last - 3) AS d0, (SELECT dx FROM l5 WHERE idx = last - 2) AS d1,
-    (SELECT dx FROM l5 WHERE idx = last - 1) AS d2, (SELECT dx FROM l5 WHERE idx = last) AS d3 FROM tail
-  UNION ALL SELECT n + 1, idx + 1, p1, p2, p3, 2*p2 - p0, d1, d2, d3, d1 FROM ahead WHERE n < {AHEAD})"""))
+@query(oracle("SELECT idx, " + S.rounded_sql(6, **{c: f"{c}3" for c in P}) + ", " + S.rounded_sql(9, **{c: f"{c}3" for c in D}) + " FROM ahead WHERE n > 0",
+  "tail AS (SELECT max(idx) AS last FROM l5), ahead AS (SELECT 0 AS n, last AS idx, " + ", ".join(f"(SELECT {c[:2]} FROM l5 WHERE idx = last - {3 - int(c[2])}) AS {c}" for c in _KNOT)
+  + " FROM tail UNION ALL SELECT n + 1, idx + 1, " + ", ".join(f"{c[:2]}{int(c[2]) + 1}" if c[2] < "3" else f"2*{c[:2]}2 - {c[:2]}0" if c[0] == "p" else f"{c[:2]}1" for c in _KNOT)
+  + f" FROM ahead WHERE n < {AHEAD})"))
 def str_propagate(spark, sf_dir):
     """Knots ahead of the trajectory: position 2 p[n-2] - p[n-4], rotation delta that of n-3."""
     last = Window.partitionBy("run").orderBy(F.desc("idx"))
     tail = knots(spark, sf_dir).withColumn("rn", F.row_number().over(last)).where("rn <= 4")
-    state = tail.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("idx", "px", "dx"))).alias("w"))
-    step = "concat(s, array(named_struct('idx', element_at(s, -1).idx + 1L, 'px', 2 * element_at(s, -2).px - element_at(s, -4).px, 'dx', element_at(s, -3).dx)))"
-    grown = state.withColumn("w", F.expr(f"slice(aggregate(sequence(1, {AHEAD}), w, (s, i) -> {step}), 5, {AHEAD})"))
-    return grown.select(F.explode("w").alias("k")).select("k.idx", *S.rounded(6, px="k.px"), *S.rounded(9, dx="k.dx"))
+    state = tail.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("idx", *P, *D))).alias("w"))
+    grown = ", ".join([f"'{c}', 2 * element_at(s, -2).{c} - element_at(s, -4).{c}" for c in P] + [f"'{c}', element_at(s, -3).{c}" for c in D])
+    step = f"concat(s, array(named_struct('idx', element_at(s, -1).idx + 1L, {grown})))"
+    done = state.withColumn("w", F.expr(f"slice(aggregate(sequence(1, {AHEAD}), w, (s, i) -> {step}), 5, {AHEAD})"))
+    return done.select(F.explode("w").alias("k")).select("k.idx", *S.rounded(6, **{c: f"k.{c}" for c in P}), *S.rounded(9, **{c: f"k.{c}" for c in D}))

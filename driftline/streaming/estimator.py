@@ -50,6 +50,28 @@ def powers(u: np.ndarray, order: int = 0) -> np.ndarray:
     return out
 
 
+def rotation(q: np.ndarray) -> np.ndarray:
+    """Matrices of unit quaternions."""
+    return np.stack([rotate(q, np.broadcast_to(e, (*q.shape[:-1], 3))) for e in np.eye(3)], -1)
+
+
+def skew(v: np.ndarray) -> np.ndarray:
+    x, y, z = np.moveaxis(v, -1, 0)
+    o = np.zeros_like(x)
+    return np.stack([np.stack([o, -z, y], -1), np.stack([z, o, -x], -1), np.stack([-y, x, o], -1)], -2)
+
+
+def right_jacobian(v: np.ndarray) -> np.ndarray:
+    """J with exp(v + e) = exp(v) exp(J e) for rotation vectors v and small e; the limit near zero."""
+    t2 = np.sum(v * v, -1)[..., None, None]
+    t, small = np.sqrt(t2), t2 < 1e-10
+    safe, safe2 = np.where(small, 1.0, t), np.where(small, 1.0, t2)
+    a = np.where(small, 0.5 - t2 / 24, (1 - np.cos(safe)) / safe2)
+    b = np.where(small, 1 / 6 - t2 / 120, (safe - np.sin(safe)) / (safe2 * safe))
+    k = skew(v)
+    return np.eye(3) - a * k + b * (k @ k)
+
+
 @dataclass
 class Window:
     """Four control points x (positions and rotation deltas, row by row), q before them."""
@@ -77,6 +99,45 @@ class Window:
         return p, q / np.linalg.norm(q, axis=-1, keepdims=True), acc, omega
 
 
+    def turns(self, x: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of one state: the rotation after each control point and those that follow it (4 x m x 3 x 3), and d(rotation vector)/d(delta)."""
+        delta, c = x[:24].reshape(4, 6)[:, None, 3:], (powers(u) @ C.T).T[..., None]
+        each, jac = rotation(quat_exp(c * delta)), right_jacobian(2 * c * delta) * 2 * c[..., None]
+        q0 = self.q0 / np.linalg.norm(self.q0)
+        ahead, behind = [rotation(np.broadcast_to(q0, (len(u), 4)))], [np.broadcast_to(np.eye(3), (len(u), 3, 3))]
+        for k in range(4):
+            ahead.append(ahead[-1] @ each[k])
+            behind.insert(0, each[3 - k] @ behind[0])
+        return each, np.stack(ahead[1:]), np.stack(behind[1:]), jac
+
+    def point_rows(self, x: np.ndarray, u: np.ndarray, body: np.ndarray, normal: np.ndarray) -> np.ndarray:
+        """d(normal . (R body + p))/dx, a row of 24 per point."""
+        _, ahead, behind, jac = self.turns(x, u)
+        turned = -ahead @ skew(np.einsum("kmij,mj->kmi", behind, body)) @ jac
+        out = np.zeros((len(u), 4, 6))
+        out[:, :, :3] = (powers(u) @ B.T)[:, :, None] * normal[:, None]
+        out[:, :, 3:] = np.einsum("mi,kmij->mkj", normal, turned)
+        return out.reshape(len(u), 24)
+
+    def inertial_rows(self, x: np.ndarray, u: np.ndarray, dt: float, up: np.ndarray) -> np.ndarray:
+        """d(R' (acceleration + up))/dx and d(body rate)/dx (2 x m x 3 x 24)."""
+        each, ahead, behind, jac = self.turns(x, u)
+        delta, dc, ddw = x[:24].reshape(4, 6)[:, None, 3:], (powers(u, 1) @ C.T / dt).T[..., None], powers(u, 2) @ B.T / dt**2
+        acc = np.einsum("mk,kc->mc", ddw, x[:24].reshape(4, 6)[:, :3]) + up
+        out = np.zeros((2, len(u), 3, 4, 6))
+        out[0, ..., :3] = np.einsum("mji,mk->mikj", ahead[3], ddw)
+        seen = skew(np.einsum("kmji,mj->kmi", ahead, acc))
+        out[0, ..., 3:] = np.einsum("kmij->mikj", np.swapaxes(behind, -1, -2) @ seen @ jac)
+        omega = np.zeros((len(u), 3))
+        for k in range(1, 4):
+            back = np.swapaxes(each[k], -1, -2)
+            omega = np.einsum("mij,mj->mi", back, omega)
+            out[1, ..., 3:] = np.einsum("mij,mjkc->mikc", back, out[1, ..., 3:])
+            out[1, :, :, k, 3:] += skew(omega) @ jac[k] + 2 * dc[k][..., None] * np.eye(3)
+            omega = omega + 2 * dc[k] * delta[k]
+        return out.reshape(2, len(u), 3, 24)
+
+
 @dataclass
 class Settings:
     dt: float = 1.0
@@ -132,7 +193,7 @@ class Filter:
         """Point-to-plane rows normal . (R p + t) + offset, and inertial rows; returns rows used."""
         s, x0, p0 = self.s, self.window.x.copy(), self.cov
         x, used, kh, settled = x0.copy(), 0, None, 0
-        eps = np.eye(self.n) * 1e-6
+        up = np.array([0, 0, s.gravity])
         inertial = imu_u is not None and len(imu_u) > 0 and len(u) > 0
 
         def predict(x: np.ndarray) -> np.ndarray:
@@ -141,17 +202,22 @@ class Filter:
             if not inertial:
                 return -r
             _, q, acc, omega = self.window.at(x, imu_u, s.dt)
-            up = np.array([0, 0, s.gravity])
             force = rotate(q * np.array([1, -1, -1, -1]), acc + up) + x[:, None, 24:27]
             return np.concatenate([-r, -force.reshape(len(x), -1), -(omega + x[:, None, 27:30]).reshape(len(x), -1)], 1)
 
+        def slopes(x: np.ndarray) -> np.ndarray:
+            rows = self.window.point_rows(x, u, body, normal)
+            if inertial:
+                rows = np.concatenate([rows, self.window.inertial_rows(x, imu_u, s.dt, up).reshape(-1, 24)])
+            bias = np.zeros((len(rows), self.n - 24))
+            if inertial:
+                bias[len(u) :] = np.kron(np.eye(2), np.tile(np.eye(3), (len(imu_u), 1)))
+            return np.concatenate([rows, bias], 1)
+
         measured = np.concatenate([np.zeros(len(u)), imu[:, :3].ravel(), imu[:, 3:].ravel()]) if inertial else np.zeros(len(u))
         noise = np.concatenate([w_pt, np.full(3 * len(imu_u), s.cov_acc), np.full(3 * len(imu_u), s.cov_gyro)]) if inertial else w_pt
         for i in range(s.iterations):
-            # The state and its neighbours on every axis at once; h by central differences.
-            near = predict(np.concatenate([x[None], x - eps, x + eps]))
-            z = measured + near[0]
-            h = (near[1 : self.n + 1] - near[self.n + 1 :]).T / 2e-6
+            z, h = measured + predict(x[None])[0], slopes(x)
             m = len(u)
             gate = (np.abs(z[:m]) < s.point_threshold) | (np.einsum("ij,jk,ik->i", h[:m], p0, h[:m]) + w_pt < w_pt * s.coeff_cov)
             drop = np.concatenate([~gate, np.abs(z[m : m + 3 * len(imu_u)]) > 10, np.abs(z[m + 3 * len(imu_u) :]) > 5]) if inertial else ~gate

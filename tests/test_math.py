@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftline.functions import scalars as S
-from driftline.operators import space
+from driftline.operators import space, trajectory
 from driftline.sources import messages
 from driftline.sources.config import RunConfig, Sensor
 from driftline.streaming import estimator, late, windows
@@ -31,6 +31,25 @@ def test_derivatives_and_body_rate_by_finite_differences():
     assert np.allclose(rate[..., 1:], omega, atol=1e-5)
 
 
+@pytest.mark.parametrize("scale", [0.0, 1e-7, 0.3, 1.5])
+def test_slopes_equal_finite_differences(scale):
+    rng, dt, up = np.random.default_rng(7), 0.5, np.array([0, 0, 9.81])
+    win = estimator.Window(np.zeros(24), np.array([0.8, 0.6, 0, 0]))
+    x, u = rng.normal(size=24), np.array([0.0, 0.2, 0.9, 1.0])
+    x.reshape(4, 6)[:, 3:] *= scale
+    body, normal = rng.normal(size=(4, 3)), rng.normal(size=(4, 3))
+    inverse = np.array([1, -1, -1, -1])
+
+    def seen(x):
+        p, q, acc, omega = win.at(x, u, dt)
+        return np.concatenate([np.sum(normal * (estimator.rotate(q, body) + p), -1), estimator.rotate(q * inverse, acc + up).reshape(len(x), -1), omega.reshape(len(x), -1)], 1)
+
+    e = np.eye(24) * 1e-6
+    want = (seen(x + e) - seen(x - e)).T / 2e-6
+    got = np.concatenate([win.point_rows(x, u, body, normal), win.inertial_rows(x, u, dt, up).reshape(-1, 24)])
+    assert np.allclose(got, want, atol=1e-5 * max(1, np.abs(want).max()))
+
+
 def test_expressions_equal_numpy(spark):
     rng = np.random.default_rng(1)
     rows = rng.normal(size=(20, 11)).tolist()
@@ -184,3 +203,45 @@ def test_plane_fit_equals_least_squares(spark):
     got = {r.qid: [r.nx, r.ny, r.nz, r.d] for r in space.plane_of(near).collect()}
     assert sorted(got) == list(range(39))
     assert all(np.allclose(got[q], want[q], rtol=1e-6, atol=1e-7) for q in got)
+
+
+def test_rotation_prefix_over_many_blocks(spark):
+    rng, n = np.random.default_rng(11), 900
+    deltas = rng.normal(size=(n, 3)) * 0.2
+    df = spark.createDataFrame([("a", k, 0.0, 0.0, 0.0, *d) for k, d in enumerate(deltas.tolist())] + [("b", 5, 0.0, 0.0, 0.0, 0.1, 0.2, 0.3)], "run string, idx long, px double, py double, pz double, dx double, dy double, dz double")
+    got = {(r.run, r.idx): [r.qw, r.qx, r.qy, r.qz] for r in trajectory.rotation_prefix(df.repartition(5), block=8).collect()}
+    q = np.array([1.0, 0, 0, 0])
+    for k, d in enumerate(deltas):
+        q = estimator.quat_mul(q, estimator.quat_exp(d))
+        assert np.allclose(got["a", k], q, atol=1e-9)
+    assert np.allclose(got["b", 5], estimator.quat_exp(np.array([0.1, 0.2, 0.3]))) and len(got) == n + 1
+
+
+def test_frames_over_many_blocks(spark):
+    df = spark.createDataFrame([("a", k, float(k), 2.0 * k, 0.0, 0.1 * k, 0.0, 0.0) for k in range(50)], "run string, idx long, px double, py double, pz double, dx double, dy double, dz double")
+    got = {r.idx: r for r in trajectory.frames(df, block=8).collect()}
+    assert set(got) == set(range(-3, 50))
+    for k in range(50):
+        want = [max(0.0, float(i)) if i < 50 else None for i in (k - 2, k - 1, k, k + 1)]
+        assert [got[k].px0, got[k].px1, got[k].px2, got[k].px3] == want and got[k].dx0 == pytest.approx(max(0.0, 0.1 * (k - 2)))
+    plan = trajectory.frames(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(run" in plan and "windowspecdefinition(run#" in plan and "block#" in plan.split("windowspecdefinition(")[1].split(",")[1]
+
+
+def test_knots_grow_in_linear_time(spark):
+    df = spark.range(300_000).selectExpr("'a' AS run", "id AS idx", *[f"0e0 AS {c}" for c in ("px", "py", "pz", "dx", "dy")], "1e-3 AS dz")
+    last = trajectory.rotation_prefix(df).where("idx = 299999").first()
+    assert np.allclose([last.qw, last.qz], [np.cos(300.0), np.sin(300.0)], atol=1e-6)
+
+
+def test_increments_as_a_stream_equal_the_batch(spark, tmp_path):
+    rows = [("a", v, v * 10 + k, float(v * 100 + k), *[0.0] * 5) for v in range(4) for k in range(-3, 10) if v * 10 + k >= 0]
+    flat = spark.createDataFrame(rows, "run string, version long, idx long, px double, py double, pz double, dx double, dy double, dz double")
+    sent = flat.groupBy("run", "version").agg(F.sort_array(F.collect_list(F.struct("idx", *trajectory.NAMES))).alias("knots"))
+    for v in range(4):
+        sent.where(f"version = {v}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    incoming = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = trajectory.apply_increments(incoming).writeStream.outputMode("complete").format("memory").queryName("rebuilt").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    run.awaitTermination()
+    pick = lambda df: sorted((r.idx, r.version, r.px) for r in df.collect())
+    assert pick(spark.table("rebuilt")) == pick(trajectory.apply_increments(sent))
