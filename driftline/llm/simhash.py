@@ -216,8 +216,9 @@ def similar_links(
     """Edges (a, b) that connect fingerprints whose texts reach the similarity in five-word shingles.
 
     items: fp, sketch, and for texts beyond SKETCH shingles item (one per distinct set
-    of shingles), n (its size) and keys (its least codes), with whole(items) giving
-    (item, set). known: further edges, which the result connects too.
+    of shingles), n (its size) and keys (its least codes), with whole(rows) giving rows
+    (item, ...) with set. known: further edges, which the result connects too. Each
+    fingerprint that is linked comes as a, with the smallest of its component as b.
 
     Two bits of 64 hold near-identical texts only: at a similarity of 0.8 fingerprints
     differ in about ten, beyond any useful choice of blocks. So texts are also blocked by
@@ -228,11 +229,11 @@ def similar_links(
     What large blocks then still hold in more than one component goes the exact way of
     _crossing(), so no link depends on a block's size. Sketches only discard clear misses.
     """
+    held = items
     if "item" not in items.columns:
         size = (F.length("sketch") / 4).cast("int")
         codes = F.transform(F.sequence(F.lit(0), F.least(F.lit(KEYS), size) - 1), lambda i: F.conv(F.hex(F.substring("sketch", i * 4 + 1, F.lit(4))), 16, 10).cast("long"))
-        items = items.select("fp", F.col("fp").alias("item"), size.cast("long").alias("n"), codes.alias("keys"), "sketch")
-    held = cut_lineage(items.select("item", "fp", "n", "keys", "sketch"))
+        held = cut_lineage(items.select("fp", F.col("fp").alias("item"), size.cast("long").alias("n"), codes.alias("keys"), "sketch"))
     dealt = held.select("item", F.explode("keys").alias("key"))
     sizes = dealt.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = cut_lineage(dealt.join(sizes, "key"))
@@ -243,15 +244,18 @@ def similar_links(
     links = _reaching(pairs, held, similarity, whole)
     links = links if known is None else links.unionByName(known)
     roots = cut_lineage(connected_components(links))
-    found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     placed = large.join(held.select("item", "fp"), "item").join(roots, F.col("fp") == F.col("node"), "left").select("key", "item", F.coalesce("root", "fp").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     left = cut_lineage(placed.join(mixed, "key", "left_semi").groupBy("item").agg(F.min("root").alias("root")))
+    found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     if left.isEmpty():
         return found
-    sets = whole(left.select("item")) if whole else _sketch_sets(held.join(left, "item", "left_semi"))
-    sets = cut_lineage(sets.join(left, "item"))
-    return found.unionByName(_alike(_crossing(sets, similarity), sets, similarity))
+    sets = cut_lineage(whole(left) if whole else _sketch_sets(held.join(left, "item")))
+    # Components of components: few edges, as what is alike in large blocks is mostly joined already.
+    tops = connected_components(_alike(_crossing(sets, similarity), sets, similarity))
+    alone = tops.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    above = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return roots.unionByName(alone).join(above, "root", "left").select(F.col("node").alias("a"), F.coalesce("top", "root").alias("b"))
 
 
 def _to_leaders(large: DataFrame, held: DataFrame) -> DataFrame:
@@ -303,7 +307,7 @@ def _crossing(sets: DataFrame, similarity: float) -> DataFrame:
     keyed = (
         tokens.join(often, "token")
         .groupBy("item", "root", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("often", "token", "least"))).alias("shared"))
+        .agg(F.sort_array(F.collect_set(F.struct("often", "token", "least"))).alias("shared"))
         .where(F.size("shared") >= lower - F.lit(1e-9))
         .select("item", "root", "n", F.size("shared").alias("m"), F.posexplode("shared").alias("at", "t"))
         .where((rest >= lower - F.lit(1e-9)) & (rest >= (F.col("n") + F.greatest(F.col("t.least"), lower)) * share - F.lit(1e-6)))
@@ -368,7 +372,7 @@ def _sketch_sets(held: DataFrame) -> DataFrame:
     def make():
         return lambda sketches: [pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in sketches.to_pylist()], pa.list_(pa.int64()))]
 
-    return arrow_columns(held, ["sketch"], struct(("set", T.ArrayType(T.LongType()))), make, ["item"])
+    return arrow_columns(held, ["sketch"], struct(("set", T.ArrayType(T.LongType()))), make, ["item", "root"])
 
 
 #: Rows whose keys are sent to all tasks rather than exchanged with the texts.
@@ -376,17 +380,16 @@ SENT_ROWS = 200_000
 
 
 def _reader(items: DataFrame, rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Makes (item, set) of all shingles from the texts of the items asked for."""
+    """Adds to rows (item, ...) the set of all shingles, from the item's text; wholly repeated rows of documents repeat it."""
 
     def make():
         coder = ShingleCoder()
         return lambda texts: [pa.array([coder.codes(t).view(np.int64) for t in utf8(texts)], pa.list_(pa.int64()))]
 
     def whole(asked: DataFrame) -> DataFrame:
-        places = cut_lineage(items.join(asked, "item", "left_semi").select("item", "rep.__id", "rep.__row"))
+        places = cut_lineage(items.select("item", "rep.__id", "rep.__row").join(asked, "item"))
         places = F.broadcast(places) if places.count() <= SENT_ROWS else places
-        texts = rows.join(places, ["__id", "__row"]).select("item", "text").dropDuplicates(["item"])
-        return arrow_columns(texts, ["text"], struct(("set", T.ArrayType(T.LongType()))), make, ["item"])
+        return arrow_columns(rows.join(places, ["__id", "__row"]), ["text"], struct(("set", T.ArrayType(T.LongType()))), make, asked.columns)
 
     return whole
 
@@ -432,9 +435,9 @@ def _grouped(docs: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
     prints = prints.select("doc_id", "__id", "__row", "fingerprint", "item")
     distinct = prints.select(F.col("fingerprint").alias("fp")).distinct()
     equal = prints.join(items.select("item", "fp"), "item").where("fingerprint <> fp").select(F.col("fingerprint").alias("a"), F.col("fp").alias("b")).distinct()
-    links = similar_links(items, known=close_links(distinct, distance).unionByName(equal), whole=_reader(items, rows.select("text", "__id", "__row")))
-    roots = connected_components(links)
-    return prints, distinct.join(roots, distinct.fp == roots.node, "left").select(F.col("fp").alias("fingerprint"), F.coalesce("root", "fp").alias("root"))
+    known = close_links(distinct, distance).unionByName(equal)
+    linked = similar_links(items, known=known, whole=_reader(items, rows.select("text", "__id", "__row")))
+    return prints, distinct.join(linked, distinct.fp == linked.a, "left").select(F.col("fp").alias("fingerprint"), F.coalesce("b", "fp").alias("root"))
 
 
 def similar_groups(docs: DataFrame, distance: int = 2) -> DataFrame:
