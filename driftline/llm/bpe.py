@@ -273,6 +273,9 @@ class WordBpe:
             for m, p in zip(marks, parts[1:], strict=True):
                 ids += [self.added[m].to_bytes(4, "little"), *map(known.__getitem__, p)]
             out.append(b"".join(ids))
+        for w in fresh:
+            if len(w) > LONG_WORD:  # so that memory stays bounded
+                del known[w]
         return out
 
     def decode(self, ids: bytes | np.ndarray) -> str:

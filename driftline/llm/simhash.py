@@ -157,8 +157,8 @@ SKETCH, KEYS = 192, 8
 CLEAR_MISS = 0.6
 #: Least hashes of a text whose frequencies tell how near it is to the middle of its groups.
 PROBES = 64
-#: Words whose hashes a task remembers; beyond, it starts anew.
-REMEMBERED = 200_000
+#: Words whose hashes a task remembers, up to this many bytes long; beyond, it starts anew.
+REMEMBERED, LONG_WORD = 200_000, 64
 MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(29)
 
 
@@ -174,10 +174,13 @@ class ShingleCoder:
         if len(self.words) > REMEMBERED:
             self.words.clear()
         known = self.words
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
+        fresh = set(words).difference(known)
+        known.update(zip(fresh, map(xxhash.xxh64_intdigest, fresh), strict=True))
         n = len(words)
         each = np.fromiter(map(known.__getitem__, words), np.uint64, n)
+        for w in fresh:
+            if len(w) > LONG_WORD:
+                del known[w]
         k = min(self.shingle, n)
         mixed = np.zeros(max(1, n - k + 1), np.uint64)
         for i in range(k):
