@@ -155,8 +155,6 @@ def near_duplicates(
 SKETCH, KEYS = 192, 8
 #: Sketches that say less than this are of no pair above 0.8: over six standard errors.
 CLEAR_MISS = 0.6
-#: Least hashes of a text whose frequencies tell how near it is to the middle of its groups.
-PROBES = 64
 #: Words whose hashes a task remembers, up to this many bytes long; beyond, it starts anew.
 REMEMBERED, LONG_WORD = 200_000, 64
 MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(29)
@@ -264,20 +262,22 @@ def similar_links(
 def _to_leaders(large: DataFrame, held: DataFrame) -> DataFrame:
     """Pairs (a, b), a > b: each member of each large block (key, item) with the block's leader.
 
-    The leader's PROBES least hashes are the most frequent on average among the members
-    of large blocks; ties go to the smaller item. Frequencies are counted, not gathered.
+    The hashes in the leader's sketch are the most frequent on average among the members
+    of large blocks: up to SKETCH shingles, it shares the most with the others. Ties go
+    to the smaller item. Frequencies are counted, not gathered.
     """
     members = held.join(large.select("item").distinct(), "item", "left_semi")
 
     def make():
-        return lambda sketches: [pa.array([np.frombuffer(x, "<u4")[:PROBES].astype(np.int64) for x in sketches.to_pylist()], pa.list_(pa.int64()))]
+        return lambda sketches: [pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in sketches.to_pylist()], pa.list_(pa.int64()))]
 
     probes = arrow_columns(members, ["sketch"], struct(("probes", T.ArrayType(T.LongType()))), make, ["item"]).select("item", F.explode("probes").alias("probe"))
     often = probes.groupBy("probe").agg(F.count("*").alias("often"))
     middle = cut_lineage(probes.join(often, "probe").groupBy("item").agg(F.avg("often").alias("middle")))
     ranked = large.join(middle, "item")
     best = F.max(F.struct("middle", F.bitwise_not("item").alias("last")))
-    leaders = ranked.groupBy("key").agg(best.alias("best")).select("key", F.bitwise_not("best.last").alias("leader"))
+    leaders = cut_lineage(ranked.groupBy("key").agg(best.alias("best")).select("key", F.bitwise_not("best.last").alias("leader")))
+    leaders = F.broadcast(leaders) if leaders.count() <= SENT_ROWS else leaders
     return (
         large.join(leaders, "key")
         .where("item <> leader")
