@@ -14,8 +14,9 @@ from driftline.llm.common import arrow_columns, cut_lineage, struct, utf8
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
-#: A line is above the limit when it is in more distinct texts of its host than both.
-MIN_TEXTS, MAX_SHARE = 20, 0.01
+#: A line is above the limits when it is in more than MIN_TEXTS distinct texts of its host,
+#: and in more than MAX_SHARE of them or, however large the host is, in more than MAX_TEXTS.
+MIN_TEXTS, MAX_SHARE, MAX_TEXTS = 20, 0.01, 1000
 #: A document is depleted when fewer words, or a smaller share of them, remain.
 LEAST_WORDS, LEAST_SHARE = 20, 0.5
 
@@ -106,8 +107,8 @@ def _measure(text: bytes) -> tuple:
     )
 
 
-def frequent_lines(measured: DataFrame, min_texts: int = MIN_TEXTS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, code) of lines in more than min_texts distinct texts and max_share of a host's.
+def frequent_lines(measured: DataFrame, min_texts: int = MIN_TEXTS, max_share: float = MAX_SHARE, max_texts: int = MAX_TEXTS) -> DataFrame:
+    """(host, code) of lines in more than min_texts distinct texts, and in more than max_share of the host's or more than max_texts.
 
     Copies of a text count once, so that a copied document doesn't make its own lines
     boilerplate. Each line is counted once per text before rows are exchanged.
@@ -120,13 +121,15 @@ def frequent_lines(measured: DataFrame, min_texts: int = MIN_TEXTS, max_share: f
         .agg(F.count("*").alias("n"))
         .where(F.col("n") > min_texts)
     )
-    return counts.join(hosts, "host").where(F.col("n") > F.col("n_texts") * F.lit(float(max_share))).select("host", "code")
+    over = (F.col("n") > F.col("n_texts") * F.lit(float(max_share))) | (F.col("n") > max_texts)
+    return counts.join(hosts, "host").where(over).select("host", "code")
 
 
 def quality_report(
     docs: DataFrame,
     min_texts: int = MIN_TEXTS,
     max_share: float = MAX_SHARE,
+    max_texts: int = MAX_TEXTS,
     doc_id: str = "doc_id",
     text: str = "text",
     host: str = "source",
@@ -143,7 +146,7 @@ def quality_report(
         F.col(doc_id).alias("doc_id"), F.coalesce(host, F.lit("")).alias("host"), F.col(text).alias("text")
     )
     measured = cut_lineage(with_measures(named, carry=["doc_id", "host"]).withColumn("row", F.monotonically_increasing_id()))
-    removed = _frequent_of(measured, min_texts, max_share).groupBy("row").agg(F.sum("words").alias("removed_words"))
+    removed = _frequent_of(measured, min_texts, max_share, max_texts).groupBy("row").agg(F.sum("words").alias("removed_words"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rest = F.col("n_words") - F.col("removed_words")
     depleted = (F.col("removed_words") > 0) & ((rest < LEAST_WORDS) | (rest < LEAST_SHARE * F.col("n_words")))
@@ -158,22 +161,24 @@ def quality_report(
     )
 
 
-def _frequent_of(measured: DataFrame, min_texts: int, max_share: float) -> DataFrame:
+def _frequent_of(measured: DataFrame, min_texts: int, max_share: float, max_texts: int) -> DataFrame:
     """(row, code, words) of the frequent lines of each row."""
     lines = measured.select("row", "host", F.explode(F.arrays_zip("line_codes", "line_words")).alias("l")).select(
         "row", "host", F.col("l.line_codes").alias("code"), F.col("l.line_words").alias("words")
     )
-    return lines.join(frequent_lines(measured, min_texts, max_share), ["host", "code"]).select("row", "code", "words")
+    return lines.join(frequent_lines(measured, min_texts, max_share, max_texts), ["host", "code"]).select("row", "code", "words")
 
 
-def remove_frequent_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, max_share: float = MAX_SHARE, host: str = "source") -> DataFrame:
+def remove_frequent_lines(
+    docs: DataFrame, min_texts: int = MIN_TEXTS, max_share: float = MAX_SHARE, max_texts: int = MAX_TEXTS, host: str = "source"
+) -> DataFrame:
     """docs with frequent lines cut from `text`, without the rows that quality_report() rejects."""
     cols = docs.columns
     held = cut_lineage(docs.withColumn("row", F.monotonically_increasing_id()))
     measured = cut_lineage(
         with_measures(held.withColumn("host", F.coalesce(host, F.lit(""))), carry=["row", "host"])
     )
-    cuts = _frequent_of(measured, min_texts, max_share).groupBy("row").agg(
+    cuts = _frequent_of(measured, min_texts, max_share, max_texts).groupBy("row").agg(
         F.collect_set("code").alias("__cut"), F.sum("words").alias("__lost")
     )
     judged = held.join(measured.select("row", "n_words", "n_repeat_words"), "row").join(cuts, "row", "left")

@@ -99,7 +99,7 @@ WITH docs AS (
   SELECT host, count(DISTINCT t) AS n_texts FROM docs GROUP BY host
 ), frequent AS (
   SELECT host, plain FROM lines JOIN hosts USING (host) GROUP BY host, plain, n_texts
-  HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > n_texts * CAST(0.01 AS DOUBLE)
+  HAVING count(DISTINCT t) > 20 AND (count(DISTINCT t) > n_texts * CAST(0.01 AS DOUBLE) OR count(DISTINCT t) > 1000)
 ), removed AS (
   SELECT r, sum(size) AS n FROM lines JOIN frequent USING (host, plain) GROUP BY r
 ), places AS (

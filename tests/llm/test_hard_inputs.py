@@ -326,6 +326,16 @@ def test_frequent_lines_over_the_default_limits(spark):
     assert all(got[k].kept == bool(k % 2) for k in range(30)) and all(got[k].kept for k in range(100, 170))
 
 
+def test_frequent_lines_of_a_large_host(spark):
+    """A line far under the share of a large host is removed once it is in more texts than the absolute limit."""
+    line, rng = "read this on our site every day", random.Random(13)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = [(k, words(8) + (f"\n{line}" if k < 31 else ""), "hot") for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    lost = lambda **limits: sum(r.removed_words > 0 for r in quality_rules.quality_report(docs, max_share=0.5, **limits).collect())
+    assert (lost(max_texts=30), lost(max_texts=31)) == (31, 0)
+
+
 def test_empty_tables_give_no_rows(spark):
     docs = spark.createDataFrame([], DOCS)
     bench = spark.createDataFrame([], "item_id bigint, text string")
