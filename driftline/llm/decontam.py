@@ -141,9 +141,11 @@ def automata(benchmark: DataFrame, window: int = 10, group_bytes: int = GROUP_BY
 
     The driver holds one group at a time, so its memory doesn't grow with the benchmark.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
+    # Without repeats, else those of one item would all fall into one group.
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // group_bytes) or 1
+    items = cut_lineage(items) if n > 1 else items
     for g in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == g)
         rows = part.collect()
