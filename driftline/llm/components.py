@@ -22,16 +22,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, sent_edges: int
     Rows go to no driver: a round's count and checksum decide when it ends.
 
     An edge is held as (a, b), a > b; a node's parent is its smallest neighbour below
-    it. A round hangs each edge's upper end on the parent of its lower end, then on
-    the smallest node that the upper end meets. Only the lower ends can be hot (the
-    middle of a star): their parents are looked up by a broadcast, of all parents if
-    there are few edges, else of those of the hot ends, of which there are few.
+    it. A round hangs each edge's upper end on the parent of its lower end, then all
+    that an upper end meets on the smallest of that. Ends can be hot (the middle of a
+    star). With few edges all parents are broadcast, and a star is a window over that
+    few rows at most; else parents and minima of the hot ends, of which there are few,
+    are broadcast, so no task gets a hot end's rows.
     """
     cur, seen = _written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        cur, now = _written(_small_star(_large_star(cur, seen[0], sent_edges)))
+        cur, now = _written(_small_star(_large_star(cur, seen[0], sent_edges), seen[0], sent_edges))
         if now == seen:
             break
         seen = now
@@ -55,10 +56,20 @@ def _large_star(cur: DataFrame, n_edges: int, sent_edges: int) -> DataFrame:
     return swift.unionByName(marked.where("hot IS NULL").drop("hot").join(parents, "b", "left").select("a", top))
 
 
-def _small_star(large: DataFrame) -> DataFrame:
+def _small_star(large: DataFrame, n_edges: int, sent_edges: int) -> DataFrame:
     """All nodes that a node meets below it, and the node itself, hung on the smallest of them."""
+    if n_edges <= sent_edges:
+        return _stars(large)
+    hot = large.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m")).where(F.col("n") > n_edges * HOT_SHARE).select("a", "m")
+    marked = large.join(F.broadcast(hot), "a", "left")
+    swift = marked.where("m IS NOT NULL AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    own = hot.select("a", F.col("m").alias("b"))
+    return swift.unionByName(own).distinct().unionByName(_stars(marked.where("m IS NULL").select("a", "b")))
+
+
+def _stars(edges: DataFrame) -> DataFrame:
     below = Window.partitionBy("a").orderBy("b")
-    ranked = large.select("a", "b", F.first("b").over(below).alias("m"), F.lag("b").over(below).alias("last"))
+    ranked = edges.select("a", "b", F.first("b").over(below).alias("m"), F.lag("b").over(below).alias("last"))
     fresh = ranked.where("last IS NULL OR last <> b")
     return fresh.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
 

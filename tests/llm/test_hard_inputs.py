@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, chat, decontam, html_text, licenses, quality_gam, quality_rules, secrets, sharding, simhash
+from driftline.llm import bpe, chat, components, decontam, html_text, licenses, quality_gam, quality_rules, secrets, sharding, simhash
 from driftline.llm.common import table
 from driftline.llm.decontam import words_of
 
@@ -368,6 +368,28 @@ def test_very_long_texts_of_every_operator(spark, sf_dir):
     assert {zlib.crc32(text.encode()), zlib.crc32(f"{text} x".encode())} == {r.text_crc32 for r in sharding.shard_documents(docs).collect()}
 
 
+@pytest.mark.parametrize("sent_edges", [0, 200_000])
+def test_components_of_hot_and_cold_nodes(spark, sent_edges):
+    rng = random.Random(21)
+    star = [(10_000, i) for i in range(1500)] + [(-5, 20_000 + i) for i in range(1500)]
+    edges = star + [(rng.randrange(30_000, 40_000), rng.randrange(30_000, 40_000)) for _ in range(3000)] + [(7, -5)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(edges * 2, "a bigint, b bigint")
+    found = {r.node: r.root for r in components.connected_components(df, sent_edges=sent_edges).collect()}
+    assert found == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
 def test_pairs_over_the_limit_end_in_one_component(spark):
     """Recall of pairs at 0.8 in dense groups: copies with 2 to 5 changed words, and pairs within a frequent passage."""
     rng = random.Random(1)
