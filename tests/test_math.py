@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftline.functions import scalars as S
-from driftline.operators import space, trajectory
+from driftline.operators import neighbours, space, trajectory
 from driftline.sources import messages
 from driftline.sources.config import RunConfig, Sensor
 from driftline.streaming import estimator, late, windows
@@ -245,3 +245,26 @@ def test_increments_as_a_stream_equal_the_batch(spark, tmp_path):
     run.awaitTermination()
     pick = lambda df: sorted((r.idx, r.version, r.px) for r in df.collect())
     assert pick(spark.table("rebuilt")) == pick(trajectory.apply_increments(sent))
+
+
+def test_nearest_equals_brute_force_and_makes_few_pairs(spark):
+    """A dense ball, clusters, far queries, equal distances on a grid, copies of a place and what is not finite."""
+    rng, k, radius = np.random.default_rng(12), 5, 2.236
+    grid = np.stack(np.meshgrid(*[np.arange(9.0) * 0.25 + 20] * 3), -1).reshape(-1, 3)
+    pts = np.concatenate([rng.normal(size=(6000, 3)) * 0.5, rng.normal(size=(500, 3)) * 1e-4 + 5, grid, np.tile([[-3.0, 0, 0]], (1500, 1)), rng.uniform(-4000, 4000, (20, 3))])
+    pts = pts[rng.permutation(len(pts))]
+    asks = np.concatenate([rng.normal(size=(300, 3)), rng.normal(size=(100, 3)) * 3, grid[::7] + 0.125, grid[::11], np.tile([[-3.0, 1.0, 0]], (50, 1)), pts[:200], [[5.0, 5, 5], [90.0, 0, 0]]])
+    rows = lambda a: [(i, *map(float, v)) for i, v in enumerate(a)]
+    odd = [(10**6, float("nan"), 0.0, 0.0), (10**6 + 1, None, 0.0, 0.0), (10**6 + 2, float("inf"), 0.0, 0.0)]
+    ddl = "id long, x double, y double, z double"
+    new, points = spark.createDataFrame(rows(asks) + odd, ddl), spark.createDataFrame(rows(pts) + odd, ddl).repartition(3)
+    want = set()
+    for i, q in enumerate(asks):
+        dx, dy, dz = (q - pts).T
+        d2 = dx * dx + dy * dy + dz * dz
+        order = np.lexsort((np.arange(len(pts)), pts[:, 0], d2))[:k]
+        want |= {(i, int(j), float(d2[j]), r + 1) for r, j in enumerate(order) if d2[j] <= radius * radius}
+    found = space.nearest(new, points, k, radius)
+    assert {(r.qid, r.id, r.d2, r.rn) for r in found.collect()} == want
+    assert space.nearest(new, points.where("id < 0"), k, radius).count() == 0 and space.nearest(new.where("id < 0"), points, k, radius).count() == 0
+    assert len(want) <= neighbours.candidates(new, points, k, radius).count() < 3 * len(want)
