@@ -33,7 +33,8 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = stream(spark, sf_dir).selectExpr("id", "user_id", "t_us", "(x - 24.5D) / 7 AS x", "y / 2.5D AS y", "z - 5 AS z")
     planes = space.plane_of(space.nearest(seen.select("id", "x", "y", "z"), cloud(spark, sf_dir))).where(inlier("0.4e0"))
     zero = [f"0e0 AS {c}" for c in ("ax", "ay", "az", "gx", "gy", "gz")]
-    return seen.select(F.col("id").alias("qid"), "user_id", "t_us").join(planes, "qid").selectExpr(
+    # Merged, as the planes come by qid; a side that looks small would go to the driver.
+    return seen.select(F.col("id").alias("qid"), "user_id", "t_us").hint("merge").join(planes, "qid").selectExpr(
         "CAST(user_id AS STRING) AS run", f"(t_us - {T0}) div {STEP} AS segment", f"((t_us - {T0}) % {STEP}) / {STEP}e0 AS u", "1 AS kind", "qid AS id",
         "qx AS bx", "qy AS by", "qz AS bz", "nx", "ny", "nz", "d", "0.01e0 AS w_pt", *zero,
     )

@@ -21,8 +21,8 @@ B, C = np.array(BLEND, float) / 6, np.array(CUMULATIVE, float) / 6
 
 
 def quat_mul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    aw, ax, ay, az = np.moveaxis(a, -1, 0)
-    bw, bx, by, bz = np.moveaxis(b, -1, 0)
+    aw, ax, ay, az = (a[..., i] for i in range(4))
+    bw, bx, by, bz = (b[..., i] for i in range(4))
     return np.stack([
         aw * bw - ax * bx - ay * by - az * bz, aw * bx + ax * bw + ay * bz - az * by,
         aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw,
@@ -35,10 +35,19 @@ def quat_exp(v: np.ndarray) -> np.ndarray:
     return np.concatenate([np.cos(n), np.sinc(n / np.pi) * v], -1)
 
 
+def cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """np.cross() without its checks, which cost more than the few rows of an update."""
+    ax, ay, az = (a[..., i] for i in range(3))
+    bx, by, bz = (b[..., i] for i in range(3))
+    out = np.empty(np.broadcast_shapes(a.shape, b.shape))
+    out[..., 0], out[..., 1], out[..., 2] = ay * bz - az * by, az * bx - ax * bz, ax * by - ay * bx
+    return out
+
+
 def rotate(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     u = q[..., 1:]
-    t = 2 * np.cross(u, v)
-    return v + q[..., :1] * t + np.cross(u, t)
+    t = 2 * cross(u, v)
+    return v + q[..., :1] * t + cross(u, t)
 
 
 def powers(u: np.ndarray, order: int = 0) -> np.ndarray:
@@ -56,9 +65,10 @@ def rotation(q: np.ndarray) -> np.ndarray:
 
 
 def skew(v: np.ndarray) -> np.ndarray:
-    x, y, z = np.moveaxis(v, -1, 0)
-    o = np.zeros_like(x)
-    return np.stack([np.stack([o, -z, y], -1), np.stack([z, o, -x], -1), np.stack([-y, x, o], -1)], -2)
+    x, y, z = (v[..., i] for i in range(3))
+    out = np.zeros((*v.shape, 3))
+    out[..., 0, 1], out[..., 0, 2], out[..., 1, 0], out[..., 1, 2], out[..., 2, 0], out[..., 2, 1] = -z, y, z, -x, -y, x
+    return out
 
 
 def right_jacobian(v: np.ndarray) -> np.ndarray:

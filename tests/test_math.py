@@ -50,6 +50,13 @@ def test_slopes_equal_finite_differences(scale):
     assert np.allclose(got, want, atol=1e-5 * max(1, np.abs(want).max()))
 
 
+def test_products_of_vectors_equal_numpy():
+    rng = np.random.default_rng(13)
+    a, b = rng.normal(size=(2, 4, 5, 3))
+    assert np.array_equal(estimator.cross(a, b), np.cross(a, b)) and np.array_equal(estimator.cross(a[:1, :1], b), np.cross(a[:1, :1], b))
+    assert np.array_equal(np.einsum("mnij,mnj->mni", estimator.skew(a), b), np.cross(a, b))
+
+
 def test_expressions_equal_numpy(spark):
     rng = np.random.default_rng(1)
     rows = rng.normal(size=(20, 11)).tolist()

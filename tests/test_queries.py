@@ -22,3 +22,10 @@ def test_no_nested_loops(spark, sf_dir, name):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     if name == "join_knn_radius":
         assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("name", ["str_filter_lo", "str_filter_lio"])
+def test_events_do_not_go_to_the_driver(spark, sf_dir, name):
+    """Neither the events nor their places times 27 cells are broadcast, however small the tables look."""
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
