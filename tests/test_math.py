@@ -275,3 +275,25 @@ def test_nearest_equals_brute_force_and_makes_few_pairs(spark):
     assert {(r.qid, r.id, r.d2, r.rn) for r in found.collect()} == want
     assert space.nearest(new, points.where("id < 0"), k, radius).count() == 0 and space.nearest(new.where("id < 0"), points, k, radius).count() == 0
     assert len(want) <= neighbours.candidates(new, points, k, radius).count() < 3 * len(want)
+
+
+def test_radius_pairs_of_one_dense_cell_fill_all_tasks(spark, monkeypatch):
+    """One cell has most rows and no side is broadcast, as with large tables: pairs equal brute force, copies included, and no task makes most of them."""
+    rng, radius = np.random.default_rng(7), 2.236
+    make = lambda n: np.concatenate([rng.uniform(0.2, 2.0, (n, 3)), rng.normal(size=(60, 3)) * 6, np.tile([[1.0, 1, 1]], (40, 1))])
+    asks, pts = make(200), make(300)
+    ddl, rows = "id long, x double, y double, z double", lambda a: [(i, *map(float, v)) for i, v in enumerate(a)] + [(10**6, float("nan"), 0.0, 0.0), (10**6 + 1, None, 0.0, 0.0)]
+    want = set()
+    for i, q in enumerate(asks):
+        dx, dy, dz = (q - pts).T
+        d2 = dx * dx + dy * dy + dz * dz
+        want |= {(i, int(j), float(d2[j])) for j in np.flatnonzero(d2 <= radius * radius)}
+    monkeypatch.setattr(space, "BLOCK", 32, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = space.within_radius(spark.createDataFrame(rows(asks), ddl), spark.createDataFrame(rows(pts), ddl)).select("qid", "id", "d2", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(found) == len(want) and {(r.qid, r.id, r.d2) for r in found} == want
+    tasks = np.bincount([r.task for r in found], minlength=4)
+    assert tasks.max() < 0.5 * len(found) and (tasks > 0).all()
