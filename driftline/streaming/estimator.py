@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from driftline.functions.scalars import BLEND, CUMULATIVE
 
 B, C = np.array(BLEND, float) / 6, np.array(CUMULATIVE, float) / 6
-RUNS, ROWS = 1024, 1 << 17  # runs or rows a task reads before it updates them
+RUNS, ROWS = 2048, 1 << 18  # runs or rows a task reads before it updates them
 
 
 def quat_mul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
