@@ -23,6 +23,7 @@ from driftline.functions.scalars import BLEND, CUMULATIVE
 
 B, C = np.array(BLEND, float) / 6, np.array(CUMULATIVE, float) / 6
 RUNS, ROWS = 2048, 1 << 18  # runs or rows a task reads before it updates them
+SLOPES = 1 << 15  # rows of slopes made at once (240 bytes each)
 
 
 def quat_mul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -461,13 +462,14 @@ class Values:
         kinds = np.stack([ceil2(m), ceil2(k), m + 6 * k > filters.n], 1)[m > 0]
         groups, of = np.unique(kinds, axis=0, return_inverse=True)
         for i, (width, width_imu, wide) in enumerate(groups):
-            at = np.nonzero(m > 0)[0][of.ravel() == i]
-            real, p = self._rows(points, cp[lo[at]], m[at], width)
-            rows = [real, p[..., 0], p[..., 1:4], p[..., 4:7], p[..., 7], p[..., 8]]
-            if width_imu:
-                real, a = self._rows(imu, ci[lo[at]], k[at], width_imu)
-                rows += [real, a[..., 0], a[..., 1:]]
-            used[at] = filters.update(who[at], bool(wide), *rows)
+            like = np.nonzero(m > 0)[0][of.ravel() == i]
+            for at in np.array_split(like, -(-len(like) * (width + 6 * width_imu) // SLOPES)):
+                real, p = self._rows(points, cp[lo[at]], m[at], width)
+                rows = [real, p[..., 0], p[..., 1:4], p[..., 4:7], p[..., 7], p[..., 8]]
+                if width_imu:
+                    real, a = self._rows(imu, ci[lo[at]], k[at], width_imu)
+                    rows += [real, a[..., 0], a[..., 1:]]
+                used[at] = filters.update(who[at], bool(wide), *rows)
         return used
 
 

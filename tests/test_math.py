@@ -267,6 +267,18 @@ def test_updates_are_made_for_many_runs_at_once(monkeypatch, inertial):
     assert apart + stream.feed(rest, True)[0].to_pylist() == together
 
 
+def test_slopes_made_at_once_are_bounded(monkeypatch):
+    """Runs with many rows of a segment each go in parts: 800 with 300 rows took 2 GB."""
+    names = ["run", "segment", "u", "kind", "id", *estimator.POINT, *estimator.INERTIAL]
+    table = pa.table([list(c) for c in zip(*sorted(many_runs(60, 9)), strict=True)], names)
+    whole = estimator.Stream(estimator.Settings(), True, 300).feed(table, True)[0].to_pylist()
+    sizes, update = [], estimator.Filters.update
+    monkeypatch.setattr(estimator, "SLOPES", 64)
+    monkeypatch.setattr(estimator.Filters, "update", lambda self, who, wide, real, *a: sizes.append(len(who) * (real.shape[1] + 6 * (a[6].shape[1] if len(a) > 5 else 0))) or update(self, who, wide, real, *a))
+    assert estimator.Stream(estimator.Settings(), True, 300).feed(table, True)[0].to_pylist() == whole
+    assert max(sizes) < 64 + 32
+
+
 def test_gain_and_information_forms_agree():
     rng = np.random.default_rng(4)
     h, p, r, z = rng.normal(size=(40, 6)), np.eye(6) * 0.3, np.full(40, 0.2), rng.normal(size=40)
